@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspark.llm import decontam, line_dedup, outliers, packing, simhash
+from inkspark.llm import decontam, edits, interpolation, line_dedup, outliers, packing, personal, secrets, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,16 +29,42 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
+def op4_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its tokens before and after three edits, at three quarters, half and a quarter of the text."""
+    state = edits.built(_table(spark, sf_dir, "documents"))
+    at = [f"cast(length(coalesce(text, '')) * {k} / 4 as long)" for k in (3, 2, 1)]
+    made = F.expr("array(" + ", ".join(f"named_struct('start', {p}, 'end', {p} + {cut}, 'new', '{new}')" for p, cut, new in zip(at, (5, 0, 7), ("", " put in ", "changed"), strict=True)) + ")")
+    out = edits.edited(state.withColumn("edits", made))
+    return out.select("doc_id", "n_before", F.col("n_tokens").alias("n_after"), F.size("chars").cast("long").alias("n_leaves"), "n_encoded")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_shingles", "n_shared", "containment")
 
 
+def op6_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secrets.scanned(_table(spark, sf_dir, "documents"))
+    return secrets.digests(found)
+
+
+def op7_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.digests(personal.detected(_table(spark, sf_dir, "documents")))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.grouped(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.scored(_table(spark, sf_dir, "documents"))
+
+
+def op10_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
