@@ -16,6 +16,7 @@ import os
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -26,7 +27,8 @@ CAPACITY, CLOSING_ID, OPEN_BINS, BLOCK = 4096, 1, 8192, 8192
 class CachedEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, with the ids of known words at hand.
 
-    The tokenizer's pieces never hold white space, so a text's ids are those of its words in turn.
+    The tokenizer's pieces never hold white space, so a text's ids are those of its words in turn. Words unknown
+    so far are encoded many at a time: in a line of plain words each ends with the one piece that has a word end.
     The memory is bounded: beyond `limit` words it begins anew.
     """
 
@@ -35,16 +37,42 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(file), limit, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _each(self, words: list[bytes]) -> None:
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, found, strict=True))
+
+    def _plain(self, words: list[bytes]) -> None:
+        lines = [words[i : i + 500] for i in range(0, len(words), 500)]
+        found = self.tokenizer.encode_batch_fast([b" ".join(x).decode() for x in lines], add_special_tokens=False)
+        for some, e in zip(lines, found, strict=True):
+            ids = np.array(e.ids, "<u4")
+            at = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(at) != len(some):
+                self._each(some)
+                continue
+            raw, at = ids.tobytes(), [0, *at.tolist()]
+            self.known.update(zip(some, map(raw.__getitem__, map(slice, at[:-1], at[1:])), strict=True))
+
+    def _learn(self, words: set[bytes]) -> None:
+        # A mark after an ASCII letter or digit is a piece of its own.
+        marked = [w for w in words if w[-1:] in (b".", b",") and w[-2:-1].isalnum()]
+        stems = {w[:-1] for w in marked}
+        wanted = (words.difference(marked) | stems | {b".", b","}).difference(self.known)
+        plain = [w for w in wanted if w.isalpha() or ((t := w.decode("utf-8", "replace")).isalpha() and max(t) < "\u0250" and "\u0130" not in t)]
+        self._plain(plain)
+        self._each(list(wanted.difference(plain)))
+        self.known.update((w, self.known[w[:-1]] + self.known[w[-1:]]) for w in marked)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > self.limit:
             self.known = {}
-        words = [t.split() for t in texts]
-        new = list(set().union(*words).difference(self.known))
-        for i in range(0, len(new), 10_000):
-            some = new[i : i + 10_000]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            self.known.update((w, b"".join([x.to_bytes(4, "little") for x in e.ids])) for w, e in zip(some, found, strict=True))
+        # Letter case is lost in any case, but marked-up tokens and combining marks are looked at as they are.
+        words = [(t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
+        self._learn(set().union(*words).difference(self.known))
         get = self.known.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
