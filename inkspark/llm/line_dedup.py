@@ -30,11 +30,14 @@ SKETCH_BITS = 1 << 24
 PER_ROW = 32768  # bits in a row of Spark's bitmaps
 
 
+def _words(line: Column | str) -> Column:
+    return F.split(F.btrim(line, F.lit(BLANK)), r"[\x20\x09-\x0D]+")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, words, h, h2 of every line that has a word."""
-    cut = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    clean = cut.select("doc_id", "line_no", F.btrim("line", F.lit(BLANK)).alias("line")).filter("line <> ''")
-    words = clean.select("doc_id", "line_no", F.split("line", r"[\x20\x09-\x0D]+").alias("words"))
+    """doc_id, text_key, line_no, words, h, h2 of every line that has a word."""
+    cut = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    words = cut.withColumn("line", F.btrim("line", F.lit(BLANK))).filter("line <> ''").select("doc_id", "text_key", "line_no", F.split("line", r"[\x20\x09-\x0D]+").alias("words"))
     return words.select("*", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("h2"))
 
 
@@ -52,32 +55,45 @@ def _block_keys(min_words: int) -> Column:
     return F.when(F.col("n") >= min_words, keys)
 
 
-def _sketch(hashes: DataFrame) -> DataFrame:
-    """A bitmap of `h`, in SKETCH_BITS / PER_ROW rows at most."""
-    bit = F.pmod(F.col("h"), F.lit(SKETCH_BITS))
-    return hashes.select(F.floor(bit / PER_ROW).alias("bucket"), (bit % PER_ROW).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+def _sketch(of: DataFrame, key: Column) -> DataFrame:
+    """A bitmap of hashes, in SKETCH_BITS / PER_ROW rows at most."""
+    bit = F.pmod(key, F.lit(SKETCH_BITS))
+    return of.select(F.floor(bit / PER_ROW).alias("__bucket"), (bit % PER_ROW).alias("__bit")).groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+
+
+def _in_sketch(rows: DataFrame, key: Column, sketch: DataFrame) -> DataFrame:
+    bit = F.pmod(key, F.lit(SKETCH_BITS))
+    met = rows.withColumn("__bucket", F.floor(bit / PER_ROW)).join(F.broadcast(sketch), "__bucket")
+    byte = F.conv(F.hex(F.substring("__bits", (bit % PER_ROW / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met.filter(F.getbit(byte, (bit % 8).cast("int")) == 1).drop("__bucket", "__bits")
+
 
+def _xor(a: Column | str) -> Column:
+    return F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
 
-def _in_sketch(lines: DataFrame, sketch: DataFrame) -> DataFrame:
-    bit = F.pmod(F.col("h"), F.lit(SKETCH_BITS))
-    met = lines.withColumn("bucket", F.floor(bit / PER_ROW)).join(F.broadcast(sketch), "bucket")
-    byte = F.conv(F.hex(F.substring("bits", (bit % PER_ROW / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return met.filter(F.getbit(byte, (bit % 8).cast("int")) == 1).drop("bucket", "bits")
 
+def _running(a: Column) -> Column:
+    return F.aggregate(a, F.array(F.lit(0).cast("long")), lambda x, y: F.concat(x, F.array(F.element_at(x, -1).bitwiseXOR(y))))
 
-def _variants() -> tuple[dict[str, Column], Column, Column, Column]:
-    """(ask, offer) keys of a block's member: each variant of the words outside the block."""
+
+def _variants(members: DataFrame) -> DataFrame:
+    """h, h2, first, ask, offer: keys of each variant of the words `rest` outside a member's block.
+
+    same, fewer, more: whether the block has other lines of as many words, one word fewer, one more. Words are hashed
+    with their places; explode() keeps what all variants of a line share from being computed for each.
+    """
     hashed = lambda shift: F.transform("rest", lambda w, i: F.xxhash64(w, i - shift))
-    xor = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
-    running = lambda a: F.aggregate(a, F.array(F.lit(0).cast("long")), lambda x, y: F.concat(x, F.array(F.element_at(x, -1).bitwiseXOR(y))))
     key = lambda role, *parts: F.xxhash64("block", F.lit(role), *parts)
-    both = lambda ask, offer, *parts: F.struct(key(ask, *parts).alias("ask"), key(offer, *parts).alias("offer"))
-    replaced = F.transform(hashed(0), lambda v, i: both("same", "same", F.col("n"), i, xor(hashed(0)).bitwiseXOR(v)))
-    whole = F.array(both("longer", "shorter", F.col("n"), xor(hashed(0))))
+    keyed = lambda df, ask, offer, *parts: df.select("h", "h2", "first", key(ask, *parts).alias("ask"), key(offer, *parts).alias("offer"))
+    own = members.withColumn("each", hashed(0)).withColumn("all", _xor("each"))
+    replaced = own.filter("same").select("h", "h2", "first", "block", "n", "all", F.posexplode("each").alias("i", "v"))
+    replaced = keyed(replaced, "same", "same", "n", "i", F.col("all").bitwiseXOR(F.col("v")))
+    whole = keyed(own.filter("more"), "longer", "shorter", "n", "all")
     # Without word i: words before it keep their places, words after it move up by one.
-    before, after = running(hashed(0)), running(hashed(1))
-    without = F.transform(F.sequence(F.lit(1), F.size("rest")), lambda i: F.element_at("before", i).bitwiseXOR(F.element_at("after", -1)).bitwiseXOR(F.element_at("after", i + 1)))
-    return {"before": before, "after": after}, replaced, whole, F.array_distinct(F.transform(without, lambda v: both("shorter", "longer", F.col("n") - 1, v)))
+    shifted = members.filter("fewer").withColumn("sums", F.arrays_zip(_running(hashed(0)).alias("before"), _running(hashed(1)).alias("after")))
+    shifted = shifted.select("h", "h2", "first", "block", (F.col("n") - 1).alias("n"), F.element_at("sums", -1)["after"].alias("all"), F.posexplode(F.zip_with(F.expr("slice(sums, 1, size(sums) - 1)"), F.expr("slice(sums, 2, size(sums) - 1)"), lambda x, y: x["before"].bitwiseXOR(y["after"]))).alias("i", "v"))
+    without = keyed(shifted, "shorter", "longer", "n", F.col("v").bitwiseXOR(F.col("all")))
+    return replaced.union(whole).union(without)
 
 
 def _verified(a: str, b: str) -> Column:
@@ -90,28 +106,34 @@ def _verified(a: str, b: str) -> Column:
 
 
 def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, line_no, h, h2, near of every line that goes; near: for a line that isn't equal to an earlier one."""
+    """doc_id, text_key, line_no, near of every line that goes; near: for one that isn't equal to an earlier line."""
     docs = docs.select("doc_id", "text")
-    lines = _lines(docs)
-    keyed = lines.withColumn("n", F.size("words")).select("h", "h2", "n", _block_keys(min_words).alias("blocks"), F.struct("doc_id", "line_no").alias("place"))
-    distinct = written(keyed.groupBy("h", "h2", "n", "blocks").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("copies")), "lines")
-
-    blocks = distinct.select(F.explode("blocks").alias("block"), "h", "h2")
-    shared = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("block")
-    members = written(blocks.join(shared, "block"), "line-blocks")
-    places = distinct.select("h", "h2", "n", "first").join(members.select("h", "h2").distinct(), ["h", "h2"])
-    asked = _in_sketch(lines, _sketch(members)).join(places, ["h", "h2"]).filter(F.col("first").eqNullSafe(F.struct("doc_id", "line_no")))
-    texts = written(asked.select("h", "h2", "n", "first", "words").dropDuplicates(["h", "h2"]), "line-texts")
-
-    sides = members.join(texts, ["h", "h2"])
+    keyed = _lines(docs).withColumn("n", F.size("words"))
+    lines = written(keyed.select("doc_id", "text_key", "line_no", "h", "h2", "n", _block_keys(min_words).alias("blocks")), "lines")
+    distinct = written(lines.groupBy("h", "h2", "n", "blocks").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("copies")), "line-firsts")
+
+    blocks = distinct.select(F.explode("blocks").alias("block"), "h", "h2", "n")
+    sizes = blocks.groupBy("block", "n").agg(F.count(F.lit(1)).alias("members"))
+    shared = sizes.groupBy("block").agg(F.sum("members").alias("members"), F.collect_list(F.struct("n", "members")).alias("sizes")).filter("members > 1").select("block", "sizes")
+    others = {"same": "x -> x.n = n and x.members > 1", "fewer": "x -> x.n = n - 1", "more": "x -> x.n = n + 1"}
+    members = blocks.join(shared, "block").withColumns({k: F.expr(f"exists(sizes, {x})") for k, x in others.items()})
+    members = written(members.filter("same or fewer or more").select("block", "h", "h2", *others), "line-blocks")
+
+    # The members' words: only documents that hold a member's first place, and of them only those lines.
+    places = distinct.select("h", "h2", "n", "first").join(members.select("h", "h2").distinct(), ["h", "h2"]).select("first", F.struct("h", "h2", "n").alias("line"))
+    places = written(places.groupBy("first.doc_id").agg(F.collect_list(F.struct("first.line_no", "line")).alias("wanted")), "line-places")
+    near_by = _in_sketch(docs, F.xxhash64("doc_id"), _sketch(places, F.xxhash64("doc_id")))
+    asked = near_by.join(places.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("cut", F.split("text", "\n"))
+    texts = asked.select("doc_id", F.inline(F.expr("transform(wanted, x -> struct(x.line_no, x.line, get(cut, x.line_no) as text))"))).withColumn("words", _words("text"))
+    texts = texts.filter(F.xxhash64("words") == F.col("line.h")).select("line.*", F.struct("doc_id", "line_no").alias("first"), "words").dropDuplicates(["h", "h2"])
+    texts = written(texts, "line-texts")
+
     tries = [F.struct(F.lit(side).alias("side"), m.alias("m")) for side in ("p", "s") for m in (F.expr("shiftleft(1, length(bin(n)) - 2)"), F.expr("shiftleft(1, length(bin(n - 1)) - 2)"))]
-    cut = sides.withColumn("at", F.explode(F.array_distinct(F.array(*tries)))).select("*", "at.side", "at.m").filter(
+    cut = members.join(texts, ["h", "h2"]).withColumn("at", F.explode(F.array_distinct(F.array(*tries)))).select("*", "at.side", "at.m").filter(
         F.col("block") == F.when(F.col("side") == "p", F.expr("xxhash64('p', m, slice(words, 1, m))")).otherwise(F.expr("xxhash64('s', m, slice(words, n - m + 1, m))"))
     )
-    rest = cut.withColumn("rest", F.when(F.col("side") == "p", F.expr("slice(words, m + 1, n - m)")).otherwise(F.expr("slice(words, 1, n - m)")))
-    extra, replaced, whole, without = _variants()
-    variants = rest.withColumns(extra).select("h", "h2", "first", F.explode(F.concat(replaced, whole, without)).alias("v")).select("h", "h2", "first", "v.*")
-    variants = written(variants, "line-variants")
+    rest = F.when(F.col("side") == "p", F.expr("slice(words, m + 1, n - m)")).otherwise(F.expr("slice(words, 1, n - m)"))
+    variants = written(_variants(cut.withColumn("rest", rest).select("h", "h2", "first", "block", "n", "rest", *others)), "line-variants")
     offers = variants.groupBy(F.col("offer").alias("ask")).agg(F.min("first").alias("partner"))
     pairs = variants.drop("offer").join(offers, "ask").filter("partner < first").select("h", "h2", "partner").distinct()
     named = texts.select("h", "h2", F.col("words").alias("a"))
@@ -120,25 +142,19 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     matter = distinct.select("h", "h2", "first", "copies").join(near, ["h", "h2"], "left").filter("copies > 1 or near")
     matter = written(matter, "line-drops")
-    met = _in_sketch(lines.drop("words"), _sketch(matter)).join(matter, ["h", "h2"])
+    met = _in_sketch(lines.select("doc_id", "text_key", "line_no", "h", "h2"), F.col("h"), _sketch(matter, F.col("h"))).join(matter, ["h", "h2"])
     later = ~F.col("first").eqNullSafe(F.struct("doc_id", "line_no"))
-    return met.filter(later | F.coalesce("near", F.lit(False))).select("doc_id", "line_no", "h", "h2", (~later).alias("near"))
+    return met.filter(later | F.coalesce("near", F.lit(False))).select("doc_id", "text_key", "line_no", (~later).alias("near"))
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """`docs` with their columns, text without the lines that go, and (last) __lines, __equal, __near counts."""
-    drops = dropped_lines(docs, min_words).groupBy(F.col("doc_id").alias("__id")).agg(
-        F.collect_set(F.struct("line_no", "h", "h2")).alias("__drops"), F.collect_set(F.when(F.col("near"), F.struct("line_no", "h", "h2"))).alias("__nears")
+    """`docs` with their columns, text without the lines that go, and (last) __lines, __lost, __near counts."""
+    drops = dropped_lines(docs, min_words).groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(
+        F.collect_set("line_no").alias("__drops"), F.count_distinct(F.when(F.col("near"), F.col("line_no"))).alias("__nears")
     )
-    met = docs.join(drops, docs["doc_id"].eqNullSafe(drops["__id"]), "left")
-    # A line is known by its place and its words' hashes, so rows that share a doc_id don't mix.
-    words = lambda line: F.split(F.btrim(line, F.lit(BLANK)), r"[\x20\x09-\x0D]+")
-    mark = F.transform(F.split(docs["text"], "\n"), lambda line, i: F.struct(line.alias("line"), F.struct(i.cast("int").alias("line_no"), F.xxhash64(words(line)).alias("h"), F.xxhash64(F.lit(1), words(line)).alias("h2")).alias("key")))
-    met = met.withColumn("__marked", F.when(F.col("__drops").isNotNull(), mark))
-    left = F.filter("__marked", lambda x: ~F.array_contains("__drops", x["key"]))
-    nears = F.size(F.filter("__marked", lambda x: F.array_contains("__nears", x["key"])))
-    lost = F.size("__marked") - F.size(left)
+    met = docs.join(drops, docs["doc_id"].eqNullSafe(drops["__id"]) & (F.xxhash64(docs["text"]) == drops["__key"]), "left")
+    left = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda line, i: ~F.array_contains("__drops", i)), "\n")
     n_lines = F.size(F.filter(F.split(docs["text"], "\n"), lambda line: F.btrim(line, F.lit(BLANK)) != ""))
-    columns = [F.when(F.col("__drops").isNull(), docs["text"]).otherwise(F.array_join(F.transform(left, lambda x: x["line"]), "\n")).alias("text") if c == "text" else docs[c] for c in docs.columns]
-    counts = [F.coalesce(n_lines, F.lit(0)).cast("long").alias("__lines"), F.coalesce(lost, F.lit(0)).cast("long").alias("__lost"), F.coalesce(nears, F.lit(0)).cast("long").alias("__near")]
+    columns = [F.when(F.col("__drops").isNull(), docs["text"]).otherwise(left).alias("text") if c == "text" else docs[c] for c in docs.columns]
+    counts = [F.when(docs["text"].isNull(), 0).otherwise(n_lines).cast("long").alias("__lines"), F.when(F.col("__drops").isNull(), 0).otherwise(F.size("__drops")).cast("long").alias("__lost"), F.coalesce("__nears", F.lit(0)).cast("long").alias("__near")]
     return met.select(*columns, *counts)
