@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkspark.operators import ngrams
+from inkspark.plans import case_queries, text_queries
+from inkspark.plans.registry import QUERIES, SQL, Query, table
+
+__all__ = ["case_queries", "flagship", "oracle_sql", "queries", "text_queries"]
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    """Letter pairs of documents by pointwise mutual information."""
+    grams = ngrams.run_grams(table(spark, sf_dir, "documents"), (1, 2), script="latin")
+    return ngrams.pmi(grams).withColumn("pmi", F.round("pmi", 6)).orderBy(F.desc("pmi"), "gram")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
