@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkspark.llm.store import written
+from inkspark.llm.store import forget, written
 
 MIN_WORDS = 10
 BLANK = " \t\n\x0b\x0c\r"
@@ -142,6 +142,8 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     matter = distinct.select("h", "h2", "first", "copies").join(near, ["h", "h2"], "left").filter("copies > 1 or near")
     matter = written(matter, "line-drops")
+    for done in (members, places, texts, variants):
+        forget(done)
     met = _in_sketch(lines.select("doc_id", "text_key", "line_no", "h", "h2"), F.col("h"), _sketch(matter, F.col("h"))).join(matter, ["h", "h2"])
     later = ~F.col("first").eqNullSafe(F.struct("doc_id", "line_no"))
     return met.filter(later | F.coalesce("near", F.lit(False))).select("doc_id", "text_key", "line_no", (~later).alias("near"))
