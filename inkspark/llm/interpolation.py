@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkspark.llm.store import written
-from inkspark.llm.words import Words, chunks, mix
+from inkspark.llm.words import Words, chunks, mix, trimmed
 
 PARTS, HELD_OUT, DELETED = 7, 2, 3  # crc32(doc_id as text) mod PARTS: what is held out, and deleted to learn weights
 TRAIN, DELETED_ROLE, HELD_ROLE = 0, 1, 2
-CHUNK = 8 << 20  # bytes of text that share one set of requests
-BUCKET_TOKENS = 8 << 20  # tokens a key bucket stands for
+CHUNK, SLICE = 4 << 20, 1 << 20  # bytes of text that share one set of requests; that are hashed at a time
+BUCKET_TOKENS = 4 << 20  # tokens a key bucket stands for
 END, START = np.uint64(1), np.uint64(2)  # in place of word hashes
 GRID, CONTEXTS = 4, 48  # steps an octave; context buckets
 ROUNDS, LEAST_EVENTS = 60, 200
@@ -59,19 +59,30 @@ def _chunked(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
+        held: dict[int, list[tuple[pa.Array, np.ndarray, np.ndarray, int]]] = {r: [] for r in (TRAIN, DELETED_ROLE, HELD_ROLE)}
+
+        def chunk(r: int) -> pa.RecordBatch:
+            nonlocal number
+            ids, lengths, hashes, _ = zip(*held[r], strict=True)
+            words, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
+            listed = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
+            row = [pa.array([number]), pa.array([r], pa.int32()), listed(pa.concat_arrays(ids)), listed(pa.array(np.concatenate(lengths), pa.int32())), pa.array([_packed(np.diff(words, prepend=np.uint64(0)))], pa.binary()), pa.array([_packed(tokens)], pa.binary())]
+            held[r], number = [], number + 1
+            return pa.RecordBatch.from_arrays(row, names=names)
+
         for batch in batches:
-            for r in (TRAIN, DELETED_ROLE, HELD_ROLE):
-                for some, data, offsets in chunks(iter([batch.filter(pc.equal(batch.column("role"), r))]), limit=CHUNK):
+            trimmed()
+            for r in held:
+                for some, data, offsets in chunks(iter([batch.filter(pc.equal(batch.column("role"), r))]), limit=SLICE):
                     w = Words(data, offsets, lower=True)
                     hashes = np.full(len(w.start) + len(w.counts), END, np.uint64)
-                    at = np.arange(len(w.start)) + w.row
-                    hashes[at] = np.maximum(w.hashes(), 3)
-                    words, tokens = np.unique(hashes, return_inverse=True)
-                    lists = lambda v, t: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, t))
-                    ids = pa.ListArray.from_arrays(pa.array([0, some.num_rows], pa.int32()), some.column("doc_id"))
-                    row = [pa.array([number]), pa.array([r], pa.int32()), ids, lists(w.counts + 1, pa.int32()), pa.array([_packed(np.diff(words, prepend=np.uint64(0)))], pa.binary()), pa.array([_packed(tokens)], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(row, names=names)
-                    number += 1
+                    hashes[np.arange(len(w.start)) + w.row] = np.maximum(w.hashes(), np.uint64(3))
+                    held[r].append((some.column("doc_id"), w.counts + 1, hashes, len(data)))
+                    if sum(h[3] for h in held[r]) >= CHUNK:
+                        yield chunk(r)
+        for r in held:
+            if held[r]:
+                yield chunk(r)
 
     schema = f"chunk long, role int, docs array<{kind}>, lengths array<int>, words binary, tokens binary"
     return docs.select("doc_id", role.alias("role"), "text").mapInArrow(run, schema)
@@ -111,6 +122,7 @@ class Chunk:
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, Chunk]]:
     for i in range(batch.num_rows):
+        trimmed()
         lengths = batch.column("lengths")[i].values.to_numpy()
         yield i, Chunk(lengths, batch.column("words")[i].as_py(), batch.column("tokens")[i].as_py())
 
@@ -136,6 +148,7 @@ def _requests(table: DataFrame, bits: int) -> DataFrame:
 def _answer(rows: pa.Table) -> pa.Table:
     """Training and remaining (without the deleted part) counts for each chunk of a bucket, in its keys' order; and,
     for chunk -1, how many keys have one."""
+    trimmed()
     keys = [np.cumsum(_unpacked(k), dtype=np.uint64) for k in rows.column("keys").to_pylist()]
     counts = [_unpacked(c).astype(np.int64) for c in rows.column("counts").to_pylist()]
     role = np.repeat(rows.column("role").to_numpy(), [len(k) for k in keys])

@@ -6,6 +6,7 @@ a prefix sum gives the hash of any span in constant time: no Python loop over wo
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,15 @@ INVERSE = pow(BASE, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
 
 
+def trimmed() -> None:
+    """Gives freed memory back to the system: a worker keeps what its largest batch took otherwise."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
