@@ -93,16 +93,16 @@ def detected(docs: DataFrame, least: int = LEAST, disclosure: float = DISCLOSURE
     told = pairs.join(df_term.join(wanted, "term", "left_semi"), "term").crossJoin(F.broadcast(total)).filter(bits >= disclosure * F.log2(F.col("total") / F.col("df_e"))).filter(F.col("total") > F.col("df_e"))
     told = written(told.select("entity", "term", (F.col("c") >= F.col("df_t")).alias("certain")), "pii-told")
     hits = terms.join(told, ["entity", "term"]).groupBy("doc_id", "text_key", "start", "end").agg(F.max("certain").alias("certain"))
-    by_doc = hits.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end", "certain")).alias("terms"))
+    by_doc = hits.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("terms"), F.collect_list(F.when(F.col("certain"), F.col("start"))).alias("sure"))
     at = ["doc_id", "text_key"]
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"))
-    marks = spans.dropDuplicates(at).select(*(F.col(c).alias(f"__{c}") for c in at), "spans").join(by_doc.select(*(F.col(c).alias(f"_t_{c}") for c in at), "terms"), F.col("__doc_id").eqNullSafe(F.col("_t_doc_id")) & (F.col("__text_key") == F.col("_t_text_key")), "left")
+    marks = spans.dropDuplicates(at).select(*(F.col(c).alias(f"__{c}") for c in at), "spans").join(by_doc.select(*(F.col(c).alias(f"_t_{c}") for c in at), "terms", "sure"), F.col("__doc_id").eqNullSafe(F.col("_t_doc_id")) & (F.col("__text_key") == F.col("_t_text_key")), "left")
     both = rows.join(marks, rows["doc_id"].eqNullSafe(F.col("__doc_id")) & (F.col("text_key") == F.col("__text_key")), "left")
     own = F.transform("spans", lambda s: F.struct(s["order"].alias("order"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     # A term inside another pattern's span is covered already.
     free = F.filter("terms", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     none = F.array().cast(NAMED)
-    return both.select("doc_id", "text_key", F.concat(F.coalesce(own, none), F.coalesce(named(free, "term", len(PATTERNS)), none)).alias("spans"), F.coalesce(F.transform(F.filter(free, lambda t: t["certain"]), lambda t: t["start"]), F.array().cast("array<bigint>")).alias("certain"))
+    return both.select("doc_id", "text_key", F.concat(F.coalesce(own, none), F.coalesce(named(free, "term", len(PATTERNS)), none)).alias("spans"), F.coalesce("sure", F.array().cast("array<bigint>")).alias("certain"))
 
 
 def digests(marked: DataFrame) -> DataFrame:
