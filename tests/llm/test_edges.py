@@ -7,12 +7,13 @@ import corpus_pipeline
 from inkspark.llm import decontam, edits, interpolation, line_dedup, outliers, packing, personal, secrets, simhash, urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, kept boolean, words string, line_no int, text_key long, blob string, spans string, chunk long, item_id int, host string, h long"
+UNBROKEN = "ab1" * 60_000
 LONG = " ".join(f"word{i % 977}x{i}" for i in range(60_000))
 
 
 def _rows(spark, empty=False):
     text = " ".join(f"w{i}" for i in range(80))
-    texts = [(1, text, "en", "a"), (1, text, "en", "a"), (2, text, None, None), (3, None, "en", None), (4, "", None, "a"), (5, " \n\t\n", "en", "a"), (6, LONG, "en", "a"), (None, "same words here", "en", "a"), (7, "same words here", "en", "a"), (8, "é 😀 \U00020000", "x", "a"), (9, "nul \0 in text", "x", "b")]
+    texts = [(1, text, "en", "a"), (1, text, "en", "a"), (2, text, None, None), (3, None, "en", None), (4, "", None, "a"), (5, " \n\t\n", "en", "a"), (6, LONG, "en", "a"), (None, "same words here", "en", "a"), (7, "same words here", "en", "a"), (8, "é 😀 \U00020000", "x", "a"), (9, "nul \0 in text", "x", "b"), (10, UNBROKEN, "en", "a")]
     return spark.createDataFrame([] if empty else [(*t, 0, 1, True, "w", 2, 3, "b", "s", 4, 5, "h", 6) for t in texts], SCHEMA)
 
 
