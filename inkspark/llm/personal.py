@@ -2,10 +2,12 @@
 
 Patterns give the protected entities: each address or number is one. Around every mention, the terms (words) of the
 window tell what is written with the entity. Over the whole corpus, N documents, an entity e in df(e) of them and a
-term t in df(t), with c(e, t) documents that have t around a mention of e, the term discloses
-log2(N c / (df(e) df(t))) of the entity's log2(N / df(e)) bits. From `disclosure` of them on, the term is removed
-where it gives the entity away for certain (c = df(t)) and otherwise generalised to its class, in the windows of the
-entity's mentions. Entities and pairs under `least` documents are no evidence of anything and give no terms.
+term t in df(t), with c(e, t) documents that have t around a mention of e, the chance of e where t is read is
+P = (c + a p) / (df(t) + a) for p = df(e) / N: `prior` documents (a) without evidence are read with each term. The term
+discloses log2(P / p) of the entity's log2(1 / p) bits. From `disclosure` of them on, the term is removed where it gives
+the entity away for certain (c = df(t)) and otherwise generalised to its class, in the windows of the entity's
+mentions. Every entity and every pair is scored, those of one document too; the fewer documents, the more P is drawn
+to p.
 
 Defined cases: a null text is the empty text; repeated rows count as documents of their own and get equal results;
 rows that share a doc_id with other texts are told apart by the text; an empty table gives an empty result; other
@@ -31,7 +33,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9\-]+[0-9]",
 }
 CARD, PHONE = (16, 19), (8, 15)  # digits
-WINDOW, LEAST, DISCLOSURE = 48, 3, 0.8  # code points to either side; documents; share of the entity's bits
+WINDOW, PRIOR, DISCLOSURE = 48, 1.0, 0.8  # code points to either side; documents; share of the entity's bits
 WORD = r"[\p{L}\p{N}]+"
 NAMED = "array<struct<order:int,kind:string,start:bigint,end:bigint>>"
 
@@ -79,19 +81,20 @@ def mentions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return with_spans.select("doc_id", "text_key", "spans"), terms
 
 
-def detected(docs: DataFrame, least: int = LEAST, disclosure: float = DISCLOSURE) -> DataFrame:
+def detected(docs: DataFrame, prior: float = PRIOR, disclosure: float = DISCLOSURE) -> DataFrame:
     """doc_id, text_key, spans (order, kind, start, end) of each row: patterns' and, as kind `term`, disclosing
     words; certain: the starts of terms that are removed."""
     spans, terms = mentions(docs)
     spans, terms = written(spans, "pii"), written(terms, "pii-terms")
     total = docs.agg(F.count(F.lit(1)).alias("total"))
-    df_entity = spans.select("doc_id", "text_key", F.explode(F.array_distinct("spans.entity")).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("df_e")).filter(F.col("df_e") >= least)
-    together = terms.select("doc_id", "text_key", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= least)
+    df_entity = spans.select("doc_id", "text_key", F.explode(F.array_distinct("spans.entity")).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("df_e"))
+    together = terms.select("doc_id", "text_key", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c"))
     pairs = written(together.join(df_entity, "entity"), "pii-pairs")
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0)))
     wanted = pairs.select("term").distinct()
     df_term = docs.select(F.explode(words).alias("w")).select(F.xxhash64("w").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
-    bits = F.log2(F.col("total") * F.col("c") / (F.col("df_e") * F.col("df_t")))
+    p = F.col("df_e") / F.col("total")
+    bits = F.log2((F.col("c") + prior * p) / ((F.col("df_t") + prior) * p))
     told = pairs.join(df_term.join(wanted, "term", "left_semi"), "term").crossJoin(F.broadcast(total)).filter(bits >= disclosure * F.log2(F.col("total") / F.col("df_e"))).filter(F.col("total") > F.col("df_e"))
     told = written(told.select("entity", "term", (F.col("c") >= F.col("df_t")).alias("certain")), "pii-told")
     hits = terms.join(told, ["entity", "term"]).groupBy("doc_id", "text_key", "start", "end").agg(F.max("certain").alias("certain"))
@@ -113,12 +116,12 @@ def digests(marked: DataFrame) -> DataFrame:
     return marked.select("doc_id", *counts, F.sha2(joined(own, "order", "start"), 256).alias("base_sha256"), joined(F.col("spans"), "order", "start").alias("spans"))
 
 
-def sanitised(docs: DataFrame, least: int = LEAST, disclosure: float = DISCLOSURE) -> DataFrame:
+def sanitised(docs: DataFrame, prior: float = PRIOR, disclosure: float = DISCLOSURE) -> DataFrame:
     """`docs` with their columns; in text, patterns stand as their kind, generalised terms as [term], removed ones go.
 
     Where spans of different kinds overlap, the one that starts first (then the earlier kind) stands for both.
     """
-    marked = detected(docs, least, disclosure).dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans"), F.col("certain").alias("__certain"))
+    marked = detected(docs, prior, disclosure).dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans"), F.col("certain").alias("__certain"))
     met = docs.join(marked, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key")), "left")
     ordered = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), s["kind"].alias("kind"))))
     step = lambda a, s: F.when((F.size(a) > 0) & (F.get(a, F.size(a) - 1)["end"] > s["start"]), a).otherwise(F.concat(a, F.array(s)))

@@ -176,6 +176,15 @@ def test_op7_disclosing_terms(spark):
     assert "term:0:7" in personal.digests(personal.detected(df)).filter("doc_id = 0").first().spans
 
 
+def test_op7_scores_entities_of_one_and_two_documents(spark):
+    rows = [(1, "quixar calls one@corp.com about the plan"), (2, "vendilo calls two@corp.com about the plan"), (3, "two@corp.com and vendilo about the plan")]
+    rows += [(10 + i, "someone calls about and the plan") for i in range(97)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in personal.sanitised(df).collect()}
+    assert [out[i] for i in (1, 2, 3)] == [" calls [email] about the plan", " calls [email] about the plan", "[email] and  about the plan"]
+    assert all(out[i] == t for i, t in rows[3:])
+
+
 def test_op8(spark, docs):
     ids = sorted(docs)
     codes = np.array([brute.fingerprint(docs[i]) for i in ids], np.uint64)
