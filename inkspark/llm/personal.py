@@ -1,13 +1,13 @@
 """PII (operator 7): patterns and information-theoretic sanitisation, in DataFrame functions only.
 
-Patterns give the protected entities: each address or number is one. Around every mention, the terms (words) of the
-window tell what is written with the entity. Over the whole corpus, N documents, an entity e in df(e) of them and a
-term t in df(t), with c(e, t) documents that have t around a mention of e, the chance of e where t is read is
-P = (c + a p) / (df(t) + a) for p = df(e) / N: `prior` documents (a) without evidence are read with each term. The term
-discloses log2(P / p) of the entity's log2(1 / p) bits. From `disclosure` of them on, the term is removed where it gives
-the entity away for certain (c = df(t)) and otherwise generalised to its class, in the windows of the entity's
-mentions. Every entity and every pair is scored, those of one document too; the fewer documents, the more P is drawn
-to p.
+Patterns give the protected entities: each address or number is one. The distinct terms of a document, the words of
+what the patterns leave of its whole text, tell what is written with its entities. Over the whole corpus, N documents,
+an entity e in df(e) of them and a term t in df(t), with c(e, t) documents that have both, the chance of e where t is
+read is P = (c + a p) / (df(t) + a) for p = df(e) / N: `prior` documents (a) without evidence are read with each term.
+The term discloses log2(P / p) of the entity's log2(1 / p) bits. From `disclosure` of them on, every occurrence of the
+term in the entity's documents is removed where it gives the entity away for certain (c = df(t)) and otherwise
+generalised to its class. Every entity and every pair is scored, those of one document too; the fewer documents, the
+more P is drawn to p.
 
 Defined cases: a null text is the empty text; repeated rows count as documents of their own and get equal results;
 rows that share a doc_id with other texts are told apart by the text; an empty table gives an empty result; other
@@ -33,7 +33,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9\-]+[0-9]",
 }
 CARD, PHONE = (16, 19), (8, 15)  # digits
-WINDOW, PRIOR, DISCLOSURE = 48, 1.0, 0.8  # code points to either side; documents; share of the entity's bits
+PRIOR, DISCLOSURE = 1.0, 0.8  # documents; share of the entity's bits
 WORD = r"[\p{L}\p{N}]+"
 NAMED = "array<struct<order:int,kind:string,start:bigint,end:bigint>>"
 
@@ -60,8 +60,34 @@ def found(text: Column) -> dict[str, Column]:
     }
 
 
-def mentions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of documents with any: doc_id, text_key and spans; and doc_id, text_key, entity, term, start, end around them."""
+def _masked(text: Column, spans: Column) -> Column:
+    """`text` with a space for each code point of the spans: terms are the words of what patterns leave."""
+    last = lambda a: F.get(a, F.size(a) - 1)
+    over = lambda a, s: F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["end"], s["end"]).alias("end"))))
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    step = lambda a, s: F.when((F.size(a) > 0) & (last(a)["end"] > s["start"]), over(a, s)).otherwise(F.concat(a, F.array(s)))
+    apart = F.aggregate(ordered, F.filter(ordered, lambda s: F.lit(False)), step)
+    return rewritten(text, F.transform(apart, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.repeat(F.lit(" "), (s["end"] - s["start"]).cast("int")).alias("to"))))
+
+
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text, hashed."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(F.lower(w))))
+
+
+def _placed(text: Column, terms: Column) -> Column:
+    """start, end of every occurrence of `terms`; the fold grows by these only, not by all words."""
+    words = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.struct(F.length(w).cast("long").alias("n"), F.xxhash64(F.lower(w)).alias("term")))
+    gaps = F.slice(F.split(text, WORD, -1), F.lit(1), F.size(words))
+    each = F.zip_with(gaps, words, lambda g, w: F.struct(F.length(g).cast("long").alias("gap"), w["n"].alias("n"), F.map_contains_key(terms, w["term"]).alias("told"), F.element_at(terms, w["term"]).alias("certain")))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,certain:boolean>>").alias("out"))
+    found = lambda a, x: F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["n"]).alias("end"), x["certain"].alias("certain"))
+    step = lambda a, x: F.struct((a["at"] + x["gap"] + x["n"]).alias("at"), F.when(x["told"], F.concat(a["out"], F.array(found(a, x)))).otherwise(a["out"]).alias("out"))
+    return F.aggregate(each, start, step, lambda a: a["out"])
+
+
+def mentions(docs: DataFrame) -> DataFrame:
+    """Of documents with any: doc_id, text_key, spans, rest (the masked text), its terms, and those gained and lost by it."""
     whole = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
     whole = whole.filter(F.rlike("text", F.lit(r"[0-9@]")))
     entity = {"email": lambda s: F.lower(s["match"]), "ip": lambda s: s["match"], "card": lambda s: _digits(s["match"]), "phone": lambda s: _digits(s["match"])}
@@ -70,44 +96,53 @@ def mentions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return F.transform(spans, lambda s: F.struct(F.lit(i).alias("order"), F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(F.lit(kind), entity[kind](s)).alias("entity")))
 
     with_spans = whole.withColumn("spans", F.concat(*(shaped(i, k, spans) for i, (k, spans) in enumerate(found(F.col("text")).items())))).filter(F.size("spans") > 0)
-    at = with_spans.withColumn("s", F.explode("spans"))
-    left = F.greatest(F.col("s.start") - WINDOW, F.lit(0))
-    around = at.select("doc_id", "text_key", "s.entity", (left).alias("left"), F.col("s.start").alias("s0"), F.col("s.end").alias("s1"), F.substring("text", (left + 1).cast("int"), (F.col("s.end") - left + WINDOW).cast("int")).alias("w"))
-    words = around.select("*", F.explode(matches(F.col("w"), WORD)).alias("m"))
-    placed = words.select("doc_id", "text_key", "entity", F.xxhash64(F.lower("m.match")).alias("term"), (F.col("left") + F.col("m.start")).alias("start"), (F.col("left") + F.col("m.end")).alias("end"), "s0", "s1", F.length("w").alias("n"), F.col("m.start").alias("a"), F.col("m.end").alias("b"), "left")
-    # Words that the window cuts, and the mention itself, are no terms.
-    uncut = ((F.col("a") > 0) | (F.col("left") == 0)) & ((F.col("b") < F.col("n")) | (F.col("n") < F.col("s1") - F.col("left") + WINDOW))
-    terms = placed.filter(uncut & ((F.col("end") <= F.col("s0")) | (F.col("start") >= F.col("s1")))).select("doc_id", "text_key", "entity", "term", "start", "end")
-    return with_spans.select("doc_id", "text_key", "spans"), terms
+    masked = with_spans.withColumn("rest", _masked(F.col("text"), F.col("spans"))).withColumns({"terms": _terms(F.col("rest")), "all": _terms(F.col("text"))})
+    return masked.select("doc_id", "text_key", "spans", "rest", "terms", F.array_except("terms", "all").alias("gained"), F.array_except("all", "terms").alias("lost"))
 
 
-def detected(docs: DataFrame, prior: float = PRIOR, disclosure: float = DISCLOSURE) -> DataFrame:
-    """doc_id, text_key, spans (order, kind, start, end) of each row: patterns' and, as kind `term`, disclosing
-    words; certain: the starts of terms that are removed."""
-    spans, terms = mentions(docs)
-    spans, terms = written(spans, "pii"), written(terms, "pii-terms")
+def disclosing(docs: DataFrame, spans: DataFrame, prior: float, disclosure: float) -> DataFrame:
+    """doc_id, text_key, told (a map of the disclosing terms of each document to whether they are certain).
+
+    Entities of the same documents have the same counts with every term and are one: a document of many entities does
+    not multiply them with its terms.
+    """
+    at = ["doc_id", "text_key"]
     total = docs.agg(F.count(F.lit(1)).alias("total"))
-    df_entity = spans.select("doc_id", "text_key", F.explode(F.array_distinct("spans.entity")).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("df_e"))
-    together = terms.select("doc_id", "text_key", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c"))
-    pairs = written(together.join(df_entity, "entity"), "pii-pairs")
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0)))
-    wanted = pairs.select("term").distinct()
-    df_term = docs.select(F.explode(words).alias("w")).select(F.xxhash64("w").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
+    one = written(spans.groupBy(*at).agg(F.count(F.lit(1)).alias("copies"), F.first(F.array_distinct("spans.entity")).alias("entities"), F.first("terms").alias("terms")), "pii-documents")
+    entities = one.select(*at, "copies", F.explode("entities").alias("entity"))
+    place = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), *at))
+    classes = entities.groupBy("entity").agg(F.sum("copies").alias("df_e"), place(1).alias("a"), place(2).alias("b")).select("entity", "df_e", F.xxhash64("df_e", "a", "b").alias("class"))
+    held = entities.join(classes, "entity").select(*at, "copies", "class", "df_e").distinct()
+    held = held.groupBy(*at, "copies").agg(F.collect_list(F.struct("class", "df_e")).alias("classes"))
+    met = held.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "classes").join(one, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")))
+    together = written(met.select(*at, "copies", F.explode("classes").alias("of"), "terms").select(*at, "copies", "of.class", "of.df_e", F.explode("terms").alias("term")), "pii-together")
+    pairs = together.groupBy("class", "df_e", "term").agg(F.sum("copies").alias("c"))
+    # Each row counts the terms of its text; documents with mentions then change to those of the masked text.
+    words = docs.select(F.lit(1).cast("long").alias("n"), F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term"))
+    changes = spans.select(F.explode(F.concat(F.transform("gained", lambda t: F.struct(F.lit(1).cast("long").alias("n"), t.alias("term"))), F.transform("lost", lambda t: F.struct(F.lit(-1).cast("long").alias("n"), t.alias("term"))))).alias("x")).select("x.n", "x.term")
+    df_term = words.union(changes).groupBy("term").agg(F.sum("n").alias("df_t"))
     p = F.col("df_e") / F.col("total")
     bits = F.log2((F.col("c") + prior * p) / ((F.col("df_t") + prior) * p))
-    told = pairs.join(df_term.join(wanted, "term", "left_semi"), "term").crossJoin(F.broadcast(total)).filter(bits >= disclosure * F.log2(F.col("total") / F.col("df_e"))).filter(F.col("total") > F.col("df_e"))
-    told = written(told.select("entity", "term", (F.col("c") >= F.col("df_t")).alias("certain")), "pii-told")
-    hits = terms.join(told, ["entity", "term"]).groupBy("doc_id", "text_key", "start", "end").agg(F.max("certain").alias("certain"))
-    by_doc = hits.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("terms"), F.collect_list(F.when(F.col("certain"), F.col("start"))).alias("sure"))
+    told = pairs.join(df_term, "term").crossJoin(F.broadcast(total)).filter(F.col("total") > F.col("df_e")).filter(bits >= disclosure * F.log2(1 / p))
+    told = written(told.select("class", "term", (F.col("c") >= F.col("df_t")).alias("certain")), "pii-told")
+    hits = together.join(told, ["class", "term"]).groupBy(*at, "term").agg(F.max("certain").alias("certain"))
+    return hits.groupBy(*at).agg(F.map_from_entries(F.collect_list(F.struct("term", "certain"))).alias("told"))
+
+
+def detected(docs: DataFrame, prior: float = PRIOR, disclosure: float = DISCLOSURE) -> DataFrame:
+    """doc_id, text_key, spans (order, kind, start, end) of each row: patterns' and, as kind `term`, disclosing
+    words; certain: the starts of terms that are removed."""
+    spans = written(mentions(docs), "pii")
     at = ["doc_id", "text_key"]
+    told = disclosing(docs, spans, prior, disclosure).withColumnsRenamed({c: f"_t_{c}" for c in at})
+    found = spans.select(*at, "spans", "rest").dropDuplicates(at).join(told, F.col("doc_id").eqNullSafe(F.col("_t_doc_id")) & (F.col("text_key") == F.col("_t_text_key")), "left")
+    marks = found.select(*(F.col(c).alias(f"__{c}") for c in at), "spans", F.when(F.col("told").isNotNull(), _placed(F.col("rest"), F.col("told"))).alias("placed"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"))
-    marks = spans.dropDuplicates(at).select(*(F.col(c).alias(f"__{c}") for c in at), "spans").join(by_doc.select(*(F.col(c).alias(f"_t_{c}") for c in at), "terms", "sure"), F.col("__doc_id").eqNullSafe(F.col("_t_doc_id")) & (F.col("__text_key") == F.col("_t_text_key")), "left")
     both = rows.join(marks, rows["doc_id"].eqNullSafe(F.col("__doc_id")) & (F.col("text_key") == F.col("__text_key")), "left")
     own = F.transform("spans", lambda s: F.struct(s["order"].alias("order"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    # A term inside another pattern's span is covered already.
-    free = F.filter("terms", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     none = F.array().cast(NAMED)
-    return both.select("doc_id", "text_key", F.concat(F.coalesce(own, none), F.coalesce(named(free, "term", len(PATTERNS)), none)).alias("spans"), F.coalesce("sure", F.array().cast("array<bigint>")).alias("certain"))
+    sure = F.transform(F.filter("placed", lambda t: t["certain"]), lambda t: t["start"])
+    return both.select("doc_id", "text_key", F.concat(F.coalesce(own, none), F.coalesce(named(F.col("placed"), "term", len(PATTERNS)), none)).alias("spans"), F.coalesce(sure, F.array().cast("array<bigint>")).alias("certain"))
 
 
 def digests(marked: DataFrame) -> DataFrame:

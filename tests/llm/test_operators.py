@@ -185,6 +185,41 @@ def test_op7_scores_entities_of_one_and_two_documents(spark):
     assert all(out[i] == t for i, t in rows[3:])
 
 
+def test_op7_terms_of_the_whole_text(spark):
+    """Far from the mention, at its side and again: every occurrence of a disclosing term goes, in both documents."""
+    far = "and the plan about it " * 20
+    rows = [(i, f"quixar {far}calls one@corp.com İ 😀 Quixar, {far}QUIXAR") for i in (1, 2)] + [(10 + i, f"someone calls {far}İ") for i in range(98)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in personal.sanitised(df).collect()}
+    assert out[1] == out[2] == f" {far}calls [email] İ 😀 , {far}" and all(out[i] == t for i, t in rows[2:])
+
+
+def test_op7_against_plain_counts(spark):
+    rng = random.Random(9)
+    vocab, people = [f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100]}" for i in range(600)], [f"p{i}@corp.com" for i in range(25)]
+    rows = []
+    for i in range(300):
+        words = [vocab[int(600 * rng.random() ** 2)] for _ in range(rng.randint(1, 30))] + [rng.choice(people) for _ in range(rng.choice([0, 0, 0, 1, 2]))]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+    rows += [rows[0], rows[1], rows[2]]  # rows count, equal ones too
+    sets = [set(t.split()) for _, t in rows]
+    df = collections.Counter(w for s in sets for w in s)
+    both = collections.Counter((e, t) for s in sets for e in s & {*people} for t in s - {*people})
+    told, sure = set(), set()
+    for (e, t), c in both.items():
+        p = df[e] / len(rows)
+        if math.log2((c + p) / ((df[t] + 1) * p)) >= 0.8 * math.log2(1 / p):
+            told.add((e, t))
+            sure |= {(e, t)} if c == df[t] else set()
+    want = {}
+    for i, text in rows:
+        mine = [w for w in text.split() if w in people]
+        want[i] = " ".join("[email]" if w in people else "" if any((e, w) in sure for e in mine) else "[term]" if any((e, w) in told for e in mine) else w for w in text.split())
+    out = personal.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(told) > len(sure) > 0 and len(out) == len(rows) and {r.doc_id: r.text for r in out} == want
+
+
 def test_op8(spark, docs):
     ids = sorted(docs)
     codes = np.array([brute.fingerprint(docs[i]) for i in ids], np.uint64)
