@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from inkspark.functions import text as tx
 from inkspark.operators import corpus, lexicons, models, ngrams
 from inkspark.plans.registry import query, table
+from inkspark.sources.shared import written
 
 LATIN = "A-Za-zÀ-ÿ"
 SPACE = r"\t\n\x0B\f\r \x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -243,6 +244,18 @@ def exact_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.similar(sets, sets, 0.7).filter("a_key < b_key").withColumn("similarity", F.round("similarity", 6))
 
 
+@query()
+def document_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates of all documents: `member` rows give each document (b_key) its representative (a_key), the least
+    of those with equal letters (a document without letters is its own); `pair` rows are the representatives' pairs."""
+    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("key"), tx.script_key("text", "latin").alias("k"))
+    least = written(docs.groupBy("k").agg(F.min("key").alias("key")).filter("k <> ''"), "letters")
+    members = docs.join(least.withColumnRenamed("key", "least"), "k", "left").select(F.lit("member").alias("kind"), F.coalesce("least", "key").alias("a_key"), F.col("key").alias("b_key"), F.when(F.col("least").isNotNull(), 1.0).otherwise(0.0).alias("similarity"))
+    sets = written(corpus.shingle_table(least, "key", "k", 4, "latin"), "shingles")
+    pairs = corpus.similar_within(sets, 0.7).select(F.lit("pair").alias("kind"), "a_key", "b_key", F.round("similarity", 6).alias("similarity"))
+    return members.union(pairs)
+
+
 @query(f"""WITH known AS (SELECT DISTINCT unnest(list_transform(range(1, len(k) - 28), lambda i: k[i : i + 29])) AS g FROM (SELECT regexp_replace(text, '[^{LATIN}]', '', 'g') AS k FROM benchmark)),
 cut AS (SELECT doc_id, unnest(list_transform(range(1, len(k) - 28), lambda i: k[i : i + 29])) AS g FROM (SELECT doc_id, regexp_replace(text, '[^{LATIN}]', '', 'g') AS k FROM documents))
 SELECT DISTINCT doc_id FROM cut SEMI JOIN known USING (g)""")

@@ -2,11 +2,13 @@
 
 import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from inkspark.functions import text as tx
 from inkspark.operators import corpus, lexicons, metrics, models, ngrams, ranking
+from inkspark.plans import catalog
 from inkspark.sources import gates, readers
 
 
@@ -76,6 +78,21 @@ def test_similar_finds_what_brute_force_finds(spark):
     assert len(got & near) >= 0.8 * len(got)
 
 
+def test_document_pairs_against_brute_force(spark):
+    """All documents: a member row each, and every pair of representatives at 0.7."""
+    sf, key = "/root/testdata/sf0.001", lambda t: re.sub("[^A-Za-zÀ-ÿ]", "", t or "")
+    docs = {r.doc_id: key(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    least = {}
+    for i in sorted(docs):
+        least.setdefault(docs[i] or i, i)
+    sets = {i: {k[j : j + 4] for j in range(max(1, len(k) - 3))} for k, i in least.items() if isinstance(k, str)}
+    want = {(i, j, round(m / (len(x) + len(y) - m), 6)) for i, x in sets.items() for j, y in sets.items() if i < j and (m := len(x & y)) >= 0.7 * (len(x) + len(y) - m)}
+    out = catalog.queries()["document_jaccard_pairs"](spark, sf).collect()
+    assert {r.b_key: r.a_key for r in out if r.kind == "member"} == {i: least[k or i] for i, k in docs.items()}
+    got = [(r.a_key, r.b_key, r.similarity) for r in out if r.kind == "pair"]
+    assert set(got) == want and len(got) == len(want) > 0 and len(out) == len(docs) + len(want)
+
+
 def test_exact_paired_test(spark):
     for gained, lost, p in ((8, 15, 0.21), (15, 18, 0.728), (0, 0, 1.0)):
         rows = [(False, True)] * gained + [(True, False)] * lost + [(True, True)]
