@@ -171,13 +171,13 @@ best AS (SELECT case_id, text, max(score) AS score, arg_max(segments, (score, -s
 SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, segments, text) AS rank, text, round(score, 6) AS score, segments FROM best""")
 def kbest_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = spark.createDataFrame(_CASES, "case_id string, readings array<string>")
-    return lattice.decoded(cases, lexicons.indexed(_lexicon(spark)), longest=2, most=3).withColumn("score", F.round("score", 6))
+    return lattice.decoded(cases, lexicons.indexed(_lexicon(spark)), longest=2).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT * FROM (VALUES ('c1', true), ('c2', true), ('c3', false)) t(case_id, reachable)")
 def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = spark.createDataFrame(_CASES, "case_id string, readings array<string>")
-    return lattice.reachable(cases, _lexicon(spark), longest=2, most=3)
+    return lattice.reachable(cases, _lexicon(spark), longest=2)
 
 
 _SYLLABLES = ["ㄓㄨㄤˋ", "˙ㄌㄜ", "ㄌㄜ˙", "ㄧ", "ㄨㄧ", "ˊ", "˙ㄌㄜˊ", "abc", "ㄇㄚˉ", "ㄅㄚㄅ"]

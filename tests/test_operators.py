@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from inkspark.functions import text as tx
-from inkspark.operators import corpus, lexicons, metrics, models, ngrams, ranking
+from inkspark.operators import corpus, lattice, lexicons, metrics, models, ngrams, ranking
 from inkspark.plans import catalog
 from inkspark.sources import gates, readers
 
@@ -93,6 +93,14 @@ def test_document_pairs_against_brute_force(spark):
     assert set(got) == want and len(got) == len(want) > 0 and len(out) == len(docs) + len(want)
 
 
+def test_long_cases_are_decoded_and_reached(spark):
+    cases = spark.createDataFrame([(1, ["a", "b"] * 20), (2, ["a"] * 34 + ["x"]), (3, ["b", "a"])], "case_id int, readings array<string>")
+    entries = spark.createDataFrame([("a", 1, "A", -1.0), ("b", 1, "B", -1.0), ("a b", 1, "C", -1.5)], "reading string, rank int, text string, log10_p double")
+    best = {r.case_id: (r.text, r.score, r.segments) for r in lattice.decoded(cases, entries, 2).filter("rank = 1").collect()}
+    assert best == {1: ("C" * 20, -30.0, 20), 3: ("BA", -2.0, 2)}
+    assert {r.case_id: r.reachable for r in lattice.reachable(cases, entries, 2).collect()} == {1: True, 2: False, 3: True}
+
+
 def test_exact_paired_test(spark):
     for gained, lost, p in ((8, 15, 0.21), (15, 18, 0.728), (0, 0, 1.0)):
         rows = [(False, True)] * gained + [(True, False)] * lost + [(True, True)]
