@@ -307,6 +307,13 @@ def domain_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("word", "lang", F.round("share", 6).alias("share"))
 
 
+@query()
+def domain_concentration_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word, those with equal rates in some languages too: a tie at the maximum goes to the least language."""
+    per = _words(_docs(spark, sf_dir)).groupBy("word", "lang").agg(F.count(F.lit(1)).alias("c"))
+    return lexicons.concentration(per, "word", "lang", "c").select("word", "lang", F.round("share", 6).alias("share"))
+
+
 @query(f"WITH {_WORDS} SELECT word, count(DISTINCT doc_id) AS docs, count(DISTINCT source) AS sources FROM words GROUP BY 1 HAVING docs >= 5 AND sources >= 3")
 def doc_source_frequency_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _words(_docs(spark, sf_dir)).groupBy("word", "source").agg(F.count(F.lit(1)).alias("m"))

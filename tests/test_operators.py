@@ -101,6 +101,14 @@ def test_long_cases_are_decoded_and_reached(spark):
     assert {r.case_id: r.reachable for r in lattice.reachable(cases, entries, 2).collect()} == {1: True, 2: False, 3: True}
 
 
+def test_concentration_keeps_words_with_ties(spark, tmp_path):
+    rows = [(1, "en", "s", "tie only low"), (2, "de", "s", "tie low deu"), (3, "fr", "s", "low high high2"), (4, "fr", "s", "high low2 low3")]
+    spark.createDataFrame(rows, "doc_id int, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.word: (r.lang, r.share) for r in catalog.queries()["domain_concentration_all"](spark, str(tmp_path)).collect()}
+    assert got["tie"] == ("de", 0.5) and got["low"] == ("fr", 0.428571) and got["only"] == ("en", 1.0) and got["high"] == ("fr", 1.0)
+    assert set(got) == {w for r in rows for w in re.findall("[a-zà-ÿ]+", r[3])}
+
+
 def test_exact_paired_test(spark):
     for gained, lost, p in ((8, 15, 0.21), (15, 18, 0.728), (0, 0, 1.0)):
         rows = [(False, True)] * gained + [(True, False)] * lost + [(True, True)]
