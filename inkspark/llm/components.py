@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspark.llm.store import forget, written
+from inkspark.sources.shared import forget, written
 
 
 def _digest(links: DataFrame) -> tuple:

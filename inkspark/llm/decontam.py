@@ -1,10 +1,12 @@
 """Benchmark decontamination (operator 5): size-partitioned MinHash containment search.
 
 For a random order of all shingles, the least shingle of a test item lies in a document with a chance equal to the
-item's containment there, however long the document. Items are partitioned by size into powers of two, and each
-partition has as many orders as make a miss at the threshold rarer than `miss`; the items' minima form the index.
-A document's shingles are met with the index by an equi-join, so that it is found wherever in a long text the item
-stands, and each candidate pair is verified by exact containment of distinct shingles.
+item's containment there, however long the document. Items are partitioned by size into powers of two. The sizes of a
+partition tell how large a share of an item may be missing at the threshold, and so how many orders make a miss rarer
+than `miss`; items' minima form the index. They tell too how many of the items' shingles a document must have at
+least, and a document with fewer is left out of the partition. A document's shingles are met with the index by an
+equi-join, so that an item is found wherever in a long text it stands, and each candidate pair is verified by exact
+containment of distinct shingles.
 
 Words are runs of letters and digits (ASCII lower-cased, other ASCII bytes separate, others count as letters). A
 sketch of fixed size, a bitmap of the items' shingles, only spares the join what no item can have.
@@ -24,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspark.llm.store import written
-from inkspark.llm.words import Words, chunks, mix
+from inkspark.llm.words import Words, apart, chunks, mix
+from inkspark.sources.shared import written
 
 SHINGLE, THRESHOLD, MISS = 5, 0.8, 1e-9
 SKETCH_BITS = 23  # log2: 1 MB for any benchmark
@@ -40,9 +42,15 @@ def _shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray
     return hashes, w.row[first]
 
 
+def missing(size: int, threshold: float) -> float:
+    """The largest share of its shingles that an item of `size` to 2 * `size` - 1 of them may lack."""
+    return max((n - math.ceil(threshold * n - 1e-9)) / n for n in range(size, min(2 * size, size + 1000)))
+
+
 def orders(size: int, threshold: float, miss: float) -> int:
-    """Orders for a size partition: its items have at most twice `size` shingles, and no more distinct minima."""
-    return min(2 * size, max(1, math.ceil(math.log(miss) / math.log(1 - threshold)))) if threshold < 1 else 1
+    """Orders for a size partition: all their minima are lacking with a chance of `miss` at most."""
+    lack = missing(size, threshold)
+    return 1 if lack == 0 else max(1, math.ceil(math.log(miss) / math.log(lack))) if lack < 1 else size
 
 
 def item_shingles(items: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
@@ -105,7 +113,8 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, s
     found = written(item_shingles(items, shingle, threshold, miss), "items").distinct()
     hits = written(_hits(docs, _sketch(found), shingle), "hits")
     index = found.select("item_id", "part", F.explode("minima").alias("h"))
-    met = hits.select("doc_id", "text_key", F.explode("hits").alias("h")).join(index, "h")
+    met = hits.select("doc_id", "text_key", F.size("hits").alias("has"), F.explode("hits").alias("h")).join(index, "h")
+    met = met.filter(F.col("has") >= threshold * F.pow(F.lit(2), F.col("part")) - 1e-9)
     pairs = met.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("item_id").alias("i"), "part").distinct()
     own = found.select("item_id", F.col("part").alias("p"), "shingles")
     both = pairs.join(own, pairs["i"].eqNullSafe(own["item_id"]) & (pairs["part"] == own["p"])).join(hits.distinct(), F.col("d").eqNullSafe(F.col("doc_id")) & F.col("k").eqNullSafe(F.col("text_key")))
@@ -116,5 +125,6 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, s
 
 def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """The rows of `docs` that hold no test item, with all their columns."""
-    gone = contained(docs, items, threshold, shingle).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__key"]), "left_anti")
+    i, k = apart(docs, "id", "key")
+    gone = contained(docs, items, threshold, shingle).select(F.col("doc_id").alias(i), F.col("text_key").alias(k)).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone[i]) & (F.xxhash64(docs["text"]) == gone[k]), "left_anti")

@@ -1,9 +1,11 @@
 """Token counts (operator 4): edit-aware counting with a segment tree over pre-token runs.
 
 A text is cut into leaves where white space follows a printing character: no pre-token of the byte-level tokenizer
-spans such a place, so a text's tokens are those of its leaves. The tree holds the leaves' characters and tokens
-and their sums. An edit is found by descending the character sums; only the leaves it touches are encoded again,
-with the neighbours whose boundary it makes unsafe, and the sums above them are updated.
+spans such a place, so a text's tokens are those of its leaves. The tree is kept with its document: the leaves' texts,
+and heaps of the sums of their characters and tokens. An edit is found by descending the character sums; only the
+leaves it touches are cut and encoded again, with the neighbours whose boundary it makes unsafe, and the sums above
+them are updated. Where the region needs more leaves than it has, the heaps are built again from the leaves' numbers,
+with nothing encoded: that happens once for each leaf's worth of characters put in at most.
 
 Defined cases: a null or empty text has one empty leaf and no tokens; repeated rows are counted each; a text
 without a place to cut is one leaf, however long; edits beyond the text's end are cut to it; an empty table gives an
@@ -31,30 +33,39 @@ def leaves_of(text: str, leaf: int = LEAF) -> list[str]:
     return [*out, text[at:]]
 
 
+def _heap(values: list[int]) -> list[int]:
+    size = 1 << max(0, (len(values) - 1).bit_length())
+    out = [0] * size + values + [0] * (size - len(values))
+    for i in range(size - 1, 0, -1):
+        out[i] = out[2 * i] + out[2 * i + 1]
+    return out
+
+
 class TokenTree:
-    """Leaves' characters and tokens under sums, as implicit heaps."""
-
-    def __init__(self, chars: list[int], tokens: list[int]):
-        self.size = 1 << max(0, (len(chars) - 1).bit_length())
-        self.leaves = len(chars)
-        pad = [0] * (self.size - len(chars))
-        self.chars = [0] * self.size + list(chars) + pad
-        self.tokens = [0] * self.size + list(tokens) + pad
-        for i in range(self.size - 1, 0, -1):
-            self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
-            self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
+    """Leaves' texts, and their characters and tokens under sums, as implicit heaps."""
+
+    def __init__(self, parts: list[str], chars: list[int], tokens: list[int], leaf: int = LEAF):
+        self.parts, self.chars, self.tokens, self.leaf = parts, chars, tokens, leaf
 
     @classmethod
     def of(cls, text: str, count: Callable[[str], int], leaf: int = LEAF) -> TokenTree:
         parts = leaves_of(text, leaf)
-        return cls([len(p) for p in parts], [count(p) for p in parts])
+        return cls(parts, _heap([len(p) for p in parts]), _heap([count(p) if p else 0 for p in parts]), leaf)
+
+    @property
+    def size(self) -> int:
+        return len(self.chars) // 2
 
     @property
     def total(self) -> int:
         return self.tokens[1]
 
+    @property
+    def text(self) -> str:
+        return "".join(self.parts)
+
     def find(self, position: int) -> tuple[int, int]:
-        """The leaf with a character (the last one at the text's end), and where the leaf starts."""
+        """The leaf with a character (the last one with any at the text's end), and where the leaf starts."""
         i, start = 1, 0
         position = min(position, self.chars[1] - 1)
         while i < self.size:
@@ -64,41 +75,52 @@ class TokenTree:
                 i += 1
         return i - self.size, start
 
-    def put(self, leaf: int, chars: int, tokens: int) -> None:
+    def _put(self, leaf: int, text: str, count: Callable[[str], int]) -> None:
+        self.parts[leaf] = text
         i = leaf + self.size
-        more, extra = chars - self.chars[i], tokens - self.tokens[i]
+        more, extra = len(text) - self.chars[i], (count(text) if text else 0) - self.tokens[i]
         while i:
             self.chars[i] += more
             self.tokens[i] += extra
             i //= 2
 
-    def edit(self, text: str, start: int, end: int, new: str, count: Callable[[str], int]) -> tuple[str, int]:
-        """The edited text, and how many characters were encoded again."""
-        start = min(max(start, 0), len(text))
-        end = min(max(end, start), len(text))
-        out = text[:start] + new + text[end:]
+    def edit(self, start: int, end: int, new: str, count: Callable[[str], int]) -> int:
+        """Makes the edit; how many characters were encoded again."""
+        length = self.chars[1]
+        start = min(max(start, 0), length)
+        end = min(max(end, start), length)
         first, left = self.find(max(start - 1, 0))
         last, at = self.find(end)
         right = at + self.chars[last + self.size]
-        grown = len(out) - len(text)
-        # Both bounds must be safe in the new text, or the region takes in the next leaf.
-        while left > 0 and not self._safe(out, left):
+        old = "".join(self.parts[first : last + 1])
+        region = old[: start - left] + new + old[end - left :]
+        # Both bounds must be safe in the new text, or the region takes in the next leaf with text.
+        while left > 0 and not self._safe(self._char(left - 1), region[:1]):
             first, left = self.find(left - 1)
-        while right < len(text) and not self._safe(out, right + grown):
+            region = self.parts[first] + region
+        while right < length and not self._safe(region[-1:] or (self._char(left - 1) if left else ""), self._char(right)):
             last, at = self.find(right)
+            region += self.parts[last]
             right = at + self.chars[last + self.size]
-        region = out[left : right + grown]
-        slots = list(range(first, last + 1))
-        parts = leaves_of(region)
-        parts = parts[: len(slots) - 1] + ["".join(parts[len(slots) - 1 :])]
-        for k, slot in enumerate(slots):
-            part = parts[k] if k < len(parts) else ""
-            self.put(slot, len(part), count(part) if part else 0)
-        return out, len(region)
+        slots, parts = last + 1 - first, leaves_of(region, self.leaf)
+        if len(parts) <= slots:
+            for k in range(slots):
+                self._put(first + k, parts[k] if k < len(parts) else "", count)
+        else:
+            chars, tokens = (h[self.size : self.size + len(self.parts)] for h in (self.chars, self.tokens))
+            chars[first : last + 1] = map(len, parts)
+            tokens[first : last + 1] = [count(p) if p else 0 for p in parts]
+            self.parts[first : last + 1] = parts
+            self.chars, self.tokens = _heap(chars), _heap(tokens)
+        return len(region)
+
+    def _char(self, position: int) -> str:
+        leaf, start = self.find(position)
+        return self.parts[leaf][position - start]
 
     @staticmethod
-    def _safe(text: str, at: int) -> bool:
-        return 0 < at < len(text) and "!" <= text[at - 1] <= "~" and text[at] in " \n"
+    def _safe(before: str, after: str) -> bool:
+        return "!" <= before <= "~" and after in (" ", "\n")
 
 
 _counters: dict[str, Callable[[str], int]] = {}
@@ -123,7 +145,7 @@ def vocabulary_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-STATE = "chars array<int>, tokens array<int>"
+STATE = "parts array<string>, chars array<int>, tokens array<int>"
 
 
 def _mapped(df: DataFrame, columns: list[str], schema: str, row: Callable[..., tuple], file: str) -> DataFrame:
@@ -138,30 +160,27 @@ def _mapped(df: DataFrame, columns: list[str], schema: str, row: Callable[..., t
 
     kind = df.schema["doc_id"].dataType.simpleString()
     fields = [f.strip().split(" ", 1) for f in schema.split(", ")]
-    types = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+    types = {"long": pa.int64(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32())}
     names, kinds = ["doc_id", *(f[0] for f in fields)], [types[f[1]] for f in fields]
     return df.select("doc_id", *columns).mapInArrow(run, f"doc_id {kind}, {schema}")
 
 
-def built(docs: DataFrame, file: str | None = None) -> DataFrame:
-    """doc_id, text, chars, tokens (the leaves of its tree), n_tokens of each row."""
+def built(docs: DataFrame, file: str | None = None, leaf: int = LEAF) -> DataFrame:
+    """doc_id, parts (the leaves' texts, whose concatenation is the text), chars and tokens (the heaps), n_tokens."""
     def row(count: Callable[[str], int], text: str | None) -> tuple:
-        parts = leaves_of(text or "")
-        tokens = [count(p) for p in parts]
-        return text, [len(p) for p in parts], tokens, sum(tokens)
+        tree = TokenTree.of(text or "", count, leaf)
+        return tree.parts, tree.chars, tree.tokens, tree.total
 
-    return _mapped(docs, ["text"], f"text string, {STATE}, n_tokens long", row, file or vocabulary_file())
+    return _mapped(docs, ["text"], f"{STATE}, n_tokens long", row, file or vocabulary_file())
 
 
-def edited(state: DataFrame, file: str | None = None) -> DataFrame:
-    """`built` rows after their `edits` (array of start, end, new; each in the text that the one before left): the
-    same columns, and n_before and n_encoded, the characters that were encoded again."""
-    def row(count: Callable[[str], int], text: str | None, chars: list[int], tokens: list[int], edits: list[dict] | None) -> tuple:
-        tree, now, again = TokenTree(chars, tokens), text or "", 0
-        for e in edits or []:
-            now, n = tree.edit(now, e["start"], e["end"], e["new"], count)
-            again += n
-        keep = slice(tree.size, tree.size + tree.leaves)
-        return now if edits else text, tree.chars[keep], tree.tokens[keep], tree.total, sum(tokens), again
+def edited(state: DataFrame, file: str | None = None, leaf: int = LEAF) -> DataFrame:
+    """`built` rows after their `edits` (array of start, end, new; each in the text that the one before left; null:
+    none): the same columns, and n_before and n_encoded, the characters that were encoded again."""
+    def row(count: Callable[[str], int], parts: list[str], chars: list[int], tokens: list[int], edits: list[dict] | None) -> tuple:
+        tree = TokenTree(parts, chars, tokens, leaf)
+        before = tree.total
+        again = sum(tree.edit(e["start"], e["end"], e["new"], count) for e in edits or [])
+        return tree.parts, tree.chars, tree.tokens, tree.total, before, again
 
-    return _mapped(state, ["text", "chars", "tokens", "edits"], f"text string, {STATE}, n_tokens long, n_before long, n_encoded long", row, file or vocabulary_file())
+    return _mapped(state, ["parts", "chars", "tokens", "edits"], f"{STATE}, n_tokens long, n_before long, n_encoded long", row, file or vocabulary_file())

@@ -28,16 +28,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspark.llm.store import written
+from inkspark.sources.shared import written
 from inkspark.llm.words import Words, chunks, mix, trimmed
 
 PARTS, HELD_OUT, DELETED = 7, 2, 3  # crc32(doc_id as text) mod PARTS: what is held out, and deleted to learn weights
 TRAIN, DELETED_ROLE, HELD_ROLE = 0, 1, 2
 CHUNK, SLICE = 4 << 20, 1 << 20  # bytes of text that share one set of requests; that are hashed at a time
 BUCKET_TOKENS = 4 << 20  # tokens a key bucket stands for
+TASK_TOKENS = 4 << 20  # tokens whose requests and answers a task takes
 END, START = np.uint64(1), np.uint64(2)  # in place of word hashes
 GRID, CONTEXTS = 4, 48  # steps an octave; context buckets
-ROUNDS, LEAST_EVENTS = 60, 200
+ROUNDS, PRIOR_EVENTS = 60, 50.0
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -167,9 +168,9 @@ def _answer(rows: pa.Table) -> pa.Table:
     ], names=["kind", "bucket", "chunk", "full", "rest", "full_types", "rest_types"])
 
 
-def _joined(answers: DataFrame, table: DataFrame) -> DataFrame:
+def _joined(answers: DataFrame, table: DataFrame, tasks: int) -> DataFrame:
     """Each chunk with its answers (an array of kind, bucket, full, rest)."""
-    by = answers.filter("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("kind", "bucket", "full", "rest")).alias("answers"))
+    by = answers.filter("chunk >= 0").repartition(tasks, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("kind", "bucket", "full", "rest")).alias("answers"))
     return table.join(by, "chunk")
 
 
@@ -205,25 +206,21 @@ def _histogram(joined: DataFrame, total: int, types: int, documents: int) -> Dat
 def learned(cells: np.ndarray) -> np.ndarray:
     """Weights (pair, word, uniform) of each context bucket by expectation-maximisation; cells: context, pair, word, n.
 
-    A bucket with few events has the weights of all events together."""
+    A bucket's expectations are joined by PRIOR_EVENTS events with the weights of all buckets together, so one with few
+    events has nearly those."""
     ratio = np.stack([np.where(cells[:, j] > 0, 2.0 ** ((cells[:, j] - 1) / GRID), 0) for j in (1, 2)] + [np.ones(len(cells))], axis=1) if len(cells) else np.zeros((0, 3))
 
-    def solved(use: np.ndarray, start: np.ndarray) -> np.ndarray:
+    def solved(use: np.ndarray, start: np.ndarray, prior: float) -> np.ndarray:
         a, n = start, cells[use, 3]
         for _ in range(ROUNDS):
             share = a * ratio[use]
-            a = (share / share.sum(axis=1, keepdims=True) * n[:, None]).sum(axis=0) / n.sum()
+            a = ((share / share.sum(axis=1, keepdims=True) * n[:, None]).sum(axis=0) + prior * start) / (n.sum() + prior)
         return np.maximum(a, 1e-12) / np.maximum(a, 1e-12).sum()
 
     if not len(cells):
         return np.tile([0.0, 0.0, 1.0], (CONTEXTS, 1))
-    every = solved(np.ones(len(cells), bool), np.full(3, 1 / 3))
-    out = np.tile(every, (CONTEXTS, 1))
-    for b in range(CONTEXTS):
-        use = cells[:, 0] == b
-        if cells[use, 3].sum() >= LEAST_EVENTS:
-            out[b] = solved(use, every)
-    return out
+    every = solved(np.ones(len(cells), bool), np.full(3, 1 / 3), 0.0)
+    return np.stack([solved(cells[:, 0] == b, every, PRIOR_EVENTS) for b in range(CONTEXTS)])
 
 
 def scored(docs: DataFrame) -> DataFrame:
@@ -233,11 +230,13 @@ def scored(docs: DataFrame) -> DataFrame:
     size = table.groupBy("role").agg(F.sum(F.size("lengths")).alias("documents"), F.sum(F.expr("aggregate(lengths, 0L, (a, x) -> a + x)")).alias("tokens")).collect()
     documents, tokens = ({r["role"]: r[k] for r in size} for k in ("documents", "tokens"))
     bits = max(4, (sum(tokens.values()) // BUCKET_TOKENS).bit_length())
-    answers = written(_requests(table, bits).groupBy("kind", "bucket").applyInArrow(_answer, "kind int, bucket long, chunk long, full binary, rest binary, full_types long, rest_types long"), "answers")
+    # Tasks by size: the shuffles hold some twelve bytes a token in all.
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sum(tokens.values()) // TASK_TOKENS))
+    answers = written(_requests(table, bits).repartition(tasks, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(_answer, "kind int, bucket long, chunk long, full binary, rest binary, full_types long, rest_types long"), "answers")
     types = answers.filter("chunk < 0 and kind = 1").agg(F.coalesce(F.sum("full_types"), F.lit(0)), F.coalesce(F.sum("rest_types"), F.lit(0))).first()
     full_total, rest_total = tokens.get(TRAIN, 0) + tokens.get(DELETED_ROLE, 0), tokens.get(TRAIN, 0)
     full_docs, rest_docs = documents.get(TRAIN, 0) + documents.get(DELETED_ROLE, 0), documents.get(TRAIN, 0)
-    deleted = _joined(answers, table.filter(F.col("role") == DELETED_ROLE))
+    deleted = _joined(answers, table.filter(F.col("role") == DELETED_ROLE), tasks)
     cells = _histogram(deleted, rest_total, types[1], rest_docs).collect()
     weights = learned(np.array([tuple(c) for c in cells], float).reshape(-1, 4))
     n, v = full_total, types[0]
@@ -257,4 +256,4 @@ def scored(docs: DataFrame) -> DataFrame:
                 held = batch.column("role")[i].as_py() == HELD_ROLE
                 yield pa.RecordBatch.from_arrays([ids, pa.array([held] * len(ids)), pa.array(by_doc(np.ones(len(c), np.int64))), pa.array(by_doc((c > 0).astype(np.int64))), pa.array(np.full(len(ids), n)), pa.array(base), pa.array(score)], names=names)
 
-    return _joined(answers, table).mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return _joined(answers, table, tasks).mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -1,7 +1,8 @@
 """Line dedup (operator 2): a deletion-neighbourhood join, in DataFrame functions only.
 
 Two lines are the same when their words differ by at most one edit (a word put in, taken out or replaced);
-lines of under `min_words` words are the same only when their words are equal. A line goes if an earlier line, kept
+lines of under `min_words` words are the same only when their words are equal: one edit of four words would leave them
+less than 0.8 alike. A line goes if an earlier line, kept
 or not, is the same; earlier is by (doc_id, line number). Every variant of a line with one word deleted is a hashed
 key; lines with equal keys are joined with the key's earliest line, and the edit distance of that pair is verified.
 
@@ -20,9 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkspark.llm.store import forget, written
+from inkspark.llm.words import apart
+from inkspark.sources.shared import forget, written
 
-MIN_WORDS = 10
+MIN_WORDS = 5
 BLANK = " \t\n\x0b\x0c\r"
 #: Bits of the sketch of lines that matter. It has this size for any input, and only saves shuffling: a false
 #: positive goes to the exact join like any other line.
@@ -150,13 +152,15 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """`docs` with their columns, text without the lines that go, and (last) __lines, __lost, __near counts."""
-    drops = dropped_lines(docs, min_words).groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(
-        F.collect_set("line_no").alias("__drops"), F.count_distinct(F.when(F.col("near"), F.col("line_no"))).alias("__nears")
+    """`docs` with their columns, text without the lines that go, and three last columns: the counts of its lines with
+    a word, of those that go, and of those among them that no earlier line equals."""
+    i, k, gone, near = apart(docs, "id", "key", "drops", "nears")
+    drops = dropped_lines(docs, min_words).groupBy(F.col("doc_id").alias(i), F.col("text_key").alias(k)).agg(
+        F.collect_set("line_no").alias(gone), F.count_distinct(F.when(F.col("near"), F.col("line_no"))).alias(near)
     )
-    met = docs.join(drops, docs["doc_id"].eqNullSafe(drops["__id"]) & (F.xxhash64(docs["text"]) == drops["__key"]), "left")
-    left = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda line, i: ~F.array_contains("__drops", i)), "\n")
+    met = docs.join(drops, docs["doc_id"].eqNullSafe(drops[i]) & (F.xxhash64(docs["text"]) == drops[k]), "left")
+    left = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda line, n: ~F.array_contains(drops[gone], n)), "\n")
     n_lines = F.size(F.filter(F.split(docs["text"], "\n"), lambda line: F.btrim(line, F.lit(BLANK)) != ""))
-    columns = [F.when(F.col("__drops").isNull(), docs["text"]).otherwise(left).alias("text") if c == "text" else docs[c] for c in docs.columns]
-    counts = [F.when(docs["text"].isNull(), 0).otherwise(n_lines).cast("long").alias("__lines"), F.when(F.col("__drops").isNull(), 0).otherwise(F.size("__drops")).cast("long").alias("__lost"), F.coalesce("__nears", F.lit(0)).cast("long").alias("__near")]
-    return met.select(*columns, *counts)
+    columns = [F.when(drops[gone].isNull(), docs["text"]).otherwise(left).alias("text") if c == "text" else docs[c] for c in docs.columns]
+    counts = [F.when(docs["text"].isNull(), 0).otherwise(n_lines), F.when(drops[gone].isNull(), 0).otherwise(F.size(drops[gone])), F.coalesce(drops[near], F.lit(0))]
+    return met.select(*columns, *(c.cast("long").alias(n) for c, n in zip(counts, apart(docs, "lines", "lost", "near"), strict=True)))

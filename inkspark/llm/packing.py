@@ -2,12 +2,14 @@
 
 Every document's ids (and the closing id) go into sequences of at most `capacity` tokens; only longer documents
 are cut. A task packs the documents of its own partition, so no token is shuffled and a lost task is simply run
-again. It takes pieces in blocks, the longest of a block first, and holds at most `open_bins` open sequences in a
-bitset keyed by free space: the best fit is the lowest set bit at or above the piece's length, and when all are
-open the fullest one, the lowest set bit of all, is closed.
+again. It is online: each piece is placed for good as it comes. At most `open_bins` sequences are open, in a bitset
+keyed by free space: the best fit is the lowest set bit at or above the piece's length, and when all are open the
+fullest one, the lowest set bit of all, is closed. Of sequences with equal free space the one opened or filled last
+is taken.
 
 Defined cases: a null or empty text is the closing id alone; repeated rows are packed each; an empty table gives an
-empty result; a very long text is cut into full pieces and one rest; other columns are ignored.
+empty result; a very long text is cut into full pieces and one rest; pieces of equal length go in the order of rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-CAPACITY, CLOSING_ID, OPEN_BINS, BLOCK = 4096, 1, 8192, 8192
+CAPACITY, CLOSING_ID, OPEN_BINS, ROWS = 4096, 1, 64, 8192
 
 
 class CachedEncoder:
@@ -131,7 +133,7 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, closing_id: int = CLOSING_ID, open_bins: int = OPEN_BINS, block: int = BLOCK) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, closing_id: int = CLOSING_ID, open_bins: int = OPEN_BINS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
     file = tokenizer or tokenizer_file()
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -140,14 +142,13 @@ def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         closing, known = closing_id.to_bytes(4, "little"), encoder(file)
         bins = OpenBins(capacity, open_bins, TaskContext.get().partitionId() << 40)
-        waiting: list[tuple] = []
+        placed: list[tuple] = []
         id_type = None
 
-        def placed() -> pa.RecordBatch:
-            waiting.sort(key=lambda p: -p[3])
-            rows = [(*p, *bins.place(p[3])) for p in waiting]
-            waiting.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [id_type, pa.int32(), *[pa.int64()] * 5], strict=True)], names=names)
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*placed, strict=True))
+            placed.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [id_type, pa.int32(), *[pa.int64()] * 5], strict=True)], names=names)
 
         for batch in batches:
             id_type = batch.schema.field(0).type
@@ -158,10 +159,11 @@ def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                     ids += closing
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         cut = ids[at : at + 4 * capacity]
-                        waiting.append((doc_id, piece, at // 4, len(cut) // 4, zlib.crc32(cut)))
-                if len(waiting) >= block:
-                    yield placed()
-        if waiting:
-            yield placed()
+                        length = len(cut) // 4
+                        placed.append((doc_id, piece, at // 4, length, zlib.crc32(cut), *bins.place(length)))
+                if len(placed) >= ROWS:
+                    yield out()
+        if placed:
+            yield out()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -5,9 +5,11 @@ what the patterns leave of its whole text, tell what is written with its entitie
 an entity e in df(e) of them and a term t in df(t), with c(e, t) documents that have both, the chance of e where t is
 read is P = (c + a p) / (df(t) + a) for p = df(e) / N: `prior` documents (a) without evidence are read with each term.
 The term discloses log2(P / p) of the entity's log2(1 / p) bits. From `disclosure` of them on, every occurrence of the
-term in the entity's documents is removed where it gives the entity away for certain (c = df(t)) and otherwise
-generalised to its class. Every entity and every pair is scored, those of one document too; the fewer documents, the
-more P is drawn to p.
+term in the entity's documents is sanitised. A term has a hierarchy of classes: words with its first STEMS characters
+(longest first), then words of its shape ([word], or [number] for one with a digit). It is generalised to the first
+class that is itself under the threshold for all of the document's entities, counted over the corpus in the same
+way, and removed where no class is. Every entity and every pair is scored, those of one document too; the fewer
+documents, the more P is drawn to p.
 
 Defined cases: a null text is the empty text; repeated rows count as documents of their own and get equal results;
 rows that share a doc_id with other texts are told apart by the text; an empty table gives an empty result; other
@@ -20,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkspark.llm.spans import counted, joined, matches, named, rewritten
-from inkspark.llm.store import written
+from inkspark.llm.words import apart
+from inkspark.sources.shared import written
 
 #: The kinds in the order of reports and their patterns. Possessive repeats match what greedy ones
 #: would, as nothing of their class can follow, and take long digit runs without recursion; a card run has its least
@@ -35,6 +38,8 @@ PATTERNS = {
 CARD, PHONE = (16, 19), (8, 15)  # digits
 PRIOR, DISCLOSURE = 1.0, 0.8  # documents; share of the entity's bits
 WORD = r"[\p{L}\p{N}]+"
+STEMS = (5, 3)  # characters of the classes of words between a word and its shape, longest first
+LEVELS = len(STEMS) + 1  # classes above the word itself
 NAMED = "array<struct<order:int,kind:string,start:bigint,end:bigint>>"
 
 
@@ -70,20 +75,32 @@ def _masked(text: Column, spans: Column) -> Column:
     return rewritten(text, F.transform(apart, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.repeat(F.lit(" "), (s["end"] - s["start"]).cast("int")).alias("to"))))
 
 
+def _levels(word: Column) -> list[Column]:
+    """A word and its classes, hashed, each level apart; a word shorter than a stem is its own stem."""
+    low = F.lower(word)
+    shape = F.when(F.rlike(low, F.lit(r"\p{N}")), "[number]").otherwise("[word]")
+    return [F.xxhash64(F.lit(i), x) for i, x in enumerate([low, *(F.substring(low, 1, n) for n in STEMS), shape])]
+
+
 def _terms(text: Column) -> Column:
-    """The distinct terms of a text, hashed."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(F.lower(w))))
+    """The distinct terms of a text and their classes, hashed."""
+    words = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.lower(w)))
+    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(*_levels(w)))))
 
 
-def _placed(text: Column, terms: Column) -> Column:
-    """start, end of every occurrence of `terms`; the fold grows by these only, not by all words."""
-    words = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.struct(F.length(w).cast("long").alias("n"), F.xxhash64(F.lower(w)).alias("term")))
+def _placed(text: Column, told: Column) -> Column:
+    """start, end, to of every occurrence of terms in `told`; the fold grows by these only, not by all words.
+
+    A term goes to its first class that isn't in `told` itself, and to nothing where all are."""
+    words = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.struct(w.alias("w"), F.map_contains_key(told, _levels(w)[0]).alias("told")))
     gaps = F.slice(F.split(text, WORD, -1), F.lit(1), F.size(words))
-    each = F.zip_with(gaps, words, lambda g, w: F.struct(F.length(g).cast("long").alias("gap"), w["n"].alias("n"), F.map_contains_key(terms, w["term"]).alias("told"), F.element_at(terms, w["term"]).alias("certain")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,certain:boolean>>").alias("out"))
-    found = lambda a, x: F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["n"]).alias("end"), x["certain"].alias("certain"))
-    step = lambda a, x: F.struct((a["at"] + x["gap"] + x["n"]).alias("at"), F.when(x["told"], F.concat(a["out"], F.array(found(a, x)))).otherwise(a["out"]).alias("out"))
-    return F.aggregate(each, start, step, lambda a: a["out"])
+    each = F.zip_with(gaps, words, lambda g, w: F.struct(F.length(g).cast("long").alias("gap"), w["w"].alias("w"), w["told"].alias("told")))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,w:string>>").alias("out"))
+    found = lambda a, x: F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + F.length(x["w"])).alias("end"), x["w"].alias("w"))
+    step = lambda a, x: F.struct((a["at"] + x["gap"] + F.length(x["w"])).alias("at"), F.when(x["told"], F.concat(a["out"], F.array(found(a, x)))).otherwise(a["out"]).alias("out"))
+    shown = lambda w: [*(F.when(F.length(w) > n, F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEMS), F.when(F.rlike(w, F.lit(r"\p{N}")), "[number]").otherwise("[word]")]
+    safe = lambda w: F.coalesce(*(F.when(~F.map_contains_key(told, h), x) for h, x in zip(_levels(w)[1:], shown(w), strict=True)), F.lit(""))
+    return F.transform(F.aggregate(each, start, step, lambda a: a["out"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), safe(s["w"]).alias("to")))
 
 
 def mentions(docs: DataFrame) -> DataFrame:
@@ -101,7 +118,7 @@ def mentions(docs: DataFrame) -> DataFrame:
 
 
 def disclosing(docs: DataFrame, spans: DataFrame, prior: float, disclosure: float) -> DataFrame:
-    """doc_id, text_key, told (a map of the disclosing terms of each document to whether they are certain).
+    """doc_id, text_key, told (a map with the disclosing terms and classes of each document as keys).
 
     Entities of the same documents have the same counts with every term and are one: a document of many entities does
     not multiply them with its terms.
@@ -124,14 +141,14 @@ def disclosing(docs: DataFrame, spans: DataFrame, prior: float, disclosure: floa
     p = F.col("df_e") / F.col("total")
     bits = F.log2((F.col("c") + prior * p) / ((F.col("df_t") + prior) * p))
     told = pairs.join(df_term, "term").crossJoin(F.broadcast(total)).filter(F.col("total") > F.col("df_e")).filter(bits >= disclosure * F.log2(1 / p))
-    told = written(told.select("class", "term", (F.col("c") >= F.col("df_t")).alias("certain")), "pii-told")
-    hits = together.join(told, ["class", "term"]).groupBy(*at, "term").agg(F.max("certain").alias("certain"))
-    return hits.groupBy(*at).agg(F.map_from_entries(F.collect_list(F.struct("term", "certain"))).alias("told"))
+    told = written(told.select("class", "term"), "pii-told")
+    hits = together.join(told, ["class", "term"]).select(*at, "term").distinct()
+    return hits.groupBy(*at).agg(F.map_from_entries(F.collect_list(F.struct("term", F.lit(True)))).alias("told"))
 
 
 def detected(docs: DataFrame, prior: float = PRIOR, disclosure: float = DISCLOSURE) -> DataFrame:
     """doc_id, text_key, spans (order, kind, start, end) of each row: patterns' and, as kind `term`, disclosing
-    words; certain: the starts of terms that are removed."""
+    words; placed: start, end and to, what stands for them (nothing where they are removed)."""
     spans = written(mentions(docs), "pii")
     at = ["doc_id", "text_key"]
     told = disclosing(docs, spans, prior, disclosure).withColumnsRenamed({c: f"_t_{c}" for c in at})
@@ -141,26 +158,29 @@ def detected(docs: DataFrame, prior: float = PRIOR, disclosure: float = DISCLOSU
     both = rows.join(marks, rows["doc_id"].eqNullSafe(F.col("__doc_id")) & (F.col("text_key") == F.col("__text_key")), "left")
     own = F.transform("spans", lambda s: F.struct(s["order"].alias("order"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     none = F.array().cast(NAMED)
-    sure = F.transform(F.filter("placed", lambda t: t["certain"]), lambda t: t["start"])
-    return both.select("doc_id", "text_key", F.concat(F.coalesce(own, none), F.coalesce(named(F.col("placed"), "term", len(PATTERNS)), none)).alias("spans"), F.coalesce(sure, F.array().cast("array<bigint>")).alias("certain"))
+    return both.select("doc_id", "text_key", F.concat(F.coalesce(own, none), F.coalesce(named(F.col("placed"), "term", len(PATTERNS)), none)).alias("spans"), F.coalesce("placed", F.array().cast("array<struct<start:bigint,end:bigint,to:string>>")).alias("placed"))
 
 
 def digests(marked: DataFrame) -> DataFrame:
     own = F.filter("spans", lambda s: s["kind"] != "term")
     counts = [counted(F.col("spans"), k) for k in PATTERNS]
-    return marked.select("doc_id", *counts, F.sha2(joined(own, "order", "start"), 256).alias("base_sha256"), joined(F.col("spans"), "order", "start").alias("spans"))
+    gone = F.size(F.filter("placed", lambda t: t["to"] == "")).cast("long")
+    return marked.select("doc_id", *counts, F.sha2(joined(own, "order", "start"), 256).alias("base_sha256"), joined(F.col("spans"), "order", "start").alias("spans"), F.size("placed").cast("long").alias("n_term"), gone.alias("n_removed"))
 
 
 def sanitised(docs: DataFrame, prior: float = PRIOR, disclosure: float = DISCLOSURE) -> DataFrame:
-    """`docs` with their columns; in text, patterns stand as their kind, generalised terms as [term], removed ones go.
+    """`docs` with their columns, whatever their names; in text, patterns stand as their kind, generalised terms as
+    their class, removed ones go.
 
     Where spans of different kinds overlap, the one that starts first (then the earlier kind) stands for both.
     """
-    marked = detected(docs, prior, disclosure).dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans"), F.col("certain").alias("__certain"))
-    met = docs.join(marked, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key")), "left")
-    ordered = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    i, k, spans, placed = apart(docs, "id", "key", "spans", "placed")
+    marked = detected(docs, prior, disclosure).dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias(i), F.col("text_key").alias(k), F.col("spans").alias(spans), F.col("placed").alias(placed))
+    met = docs.join(marked, docs["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(docs["text"]) == F.col(k)), "left")
+    to = F.map_from_entries(F.transform(placed, lambda t: F.struct(t["start"], t["to"])))
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), s["kind"].alias("kind"))))
     step = lambda a, s: F.when((F.size(a) > 0) & (F.get(a, F.size(a) - 1)["end"] > s["start"]), a).otherwise(F.concat(a, F.array(s)))
-    apart = F.aggregate(ordered, F.filter(ordered, lambda s: F.lit(False)), step)
-    to = F.transform(apart, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when((s["kind"] == "term") & F.array_contains("__certain", s["start"]), F.lit("")).otherwise(F.concat(F.lit("["), s["kind"], F.lit("]"))).alias("to")))
-    text = F.when(F.size("__spans") > 0, rewritten(docs["text"], to)).otherwise(docs["text"])
+    first = F.aggregate(ordered, F.filter(ordered, lambda s: F.lit(False)), step)
+    named_ = F.transform(first, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["kind"] == "term", F.element_at(to, s["start"])).otherwise(F.concat(F.lit("["), s["kind"], F.lit("]"))).alias("to")))
+    text = F.when(F.size(spans) > 0, rewritten(docs["text"], named_)).otherwise(docs["text"])
     return met.select(*(text.alias("text") if c == "text" else docs[c] for c in docs.columns))

@@ -22,7 +22,7 @@ def op1_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its text without the lines that go, and how many lines it had and lost."""
     out = line_dedup.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "text", F.col("__lines").alias("n_lines"), F.col("__lost").alias("n_lost"), F.col("__near").alias("n_near"))
+    return out.select("doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_lost").alias("n_lost"), F.col("_near").alias("n_near"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,10 +32,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its tokens before and after three edits, at three quarters, half and a quarter of the text."""
     state = edits.built(_table(spark, sf_dir, "documents"))
-    at = [f"cast(length(coalesce(text, '')) * {k} / 4 as long)" for k in (3, 2, 1)]
+    # The heap's root is the text's length.
+    at = [f"cast(chars[1] * {k} / 4 as long)" for k in (3, 2, 1)]
     made = F.expr("array(" + ", ".join(f"named_struct('start', {p}, 'end', {p} + {cut}, 'new', '{new}')" for p, cut, new in zip(at, (5, 0, 7), ("", " put in ", "changed"), strict=True)) + ")")
     out = edits.edited(state.withColumn("edits", made))
-    return out.select("doc_id", "n_before", F.col("n_tokens").alias("n_after"), F.size("chars").cast("long").alias("n_leaves"), "n_encoded")
+    return out.select("doc_id", "n_before", F.col("n_tokens").alias("n_after"), F.size("parts").cast("long").alias("n_leaves"), "n_encoded")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +45,13 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secrets.scanned(_table(spark, sf_dir, "documents"))
+    """Two commits of one history: the first holds the lower half of ids and is scanned by the base rules, the second
+    holds all documents and has all rules, and only what the first one's ledger lacks is evaluated."""
+    docs = _table(spark, sf_dir, "documents")
+    half = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    first = docs.crossJoin(F.broadcast(half)).filter("doc_id <= (a + b) / 2").select("doc_id", "text")
+    _, ledger = secrets.scanned(first, None, tuple(r for r in secrets.RULES if r.base))
+    found, _ = secrets.scanned(docs.select("doc_id", "text"), ledger)
     return secrets.digests(found)
 
 
@@ -80,8 +87,8 @@ WITH cut AS (
 ), firsts AS (
   SELECT w, min((doc_id, line_no)) AS place, len(w) AS n FROM words WHERE len(w) > 0 GROUP BY w
 ), halves AS (
-  SELECT w, place, n, n AS base, n // 2 AS m FROM firsts WHERE n >= 10
-  UNION ALL SELECT w, place, n, n - 1, (n - 1) // 2 FROM firsts WHERE n >= 10
+  SELECT w, place, n, n AS base, n // 2 AS m FROM firsts WHERE n >= 5
+  UNION ALL SELECT w, place, n, n - 1, (n - 1) // 2 FROM firsts WHERE n >= 5
 ), keys AS (
   SELECT *, (base, 'p', w[1 : m]) AS k FROM halves
   UNION ALL SELECT *, (base, 's', w[n - (base - m) + 1 :]) FROM halves

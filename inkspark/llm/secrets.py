@@ -1,9 +1,9 @@
 """Secret scans (operator 6): an incremental blob ledger, in DataFrame functions only.
 
-Every version of a file is known by its content's SHA-256. A scan takes each content once, leaves out the pairs of
-content and rule version that the ledger holds, and joins the findings back to every path and version that has the
-content. The ledger is a table (blob, rule, version, spans) that only grows; a rule's new version is scanned anew
-and older versions' rows stay.
+Every version of a file is known by its content's SHA-256. A scan takes each content once, evaluates on it only the
+rules whose pair of content and rule version the ledger lacks, and joins the findings back to every path and version
+that has the content. The ledger is a table (blob, rule, version, spans) that only grows; a rule's new version is
+scanned anew and older versions' rows stay.
 
 Defined cases: a null text is the empty content; repeated rows get equal results; rows with a null path are scanned
 too; contents of any length are scanned whole; an empty table gives an empty result; other columns are ignored.
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkspark.llm.spans import counted, joined, matches
-from inkspark.llm.store import written
+from inkspark.sources.shared import written
 
 
 @dataclass(frozen=True)
@@ -57,15 +57,25 @@ def blob_of(text: Column) -> Column:
 
 
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """New ledger rows: findings of the pairs of content and rule version that `ledger` lacks (no spans: clean)."""
-    blobs = versions.select(blob_of(F.col(text)).alias("blob"), F.coalesce(text, F.lit("")).alias("content"))
-    if ledger is not None:
-        done = ledger.join(F.broadcast(versions.sparkSession.createDataFrame([(r.kind, r.version) for r in rules], "rule string, version int")), ["rule", "version"])
-        full = done.groupBy("blob").agg(F.count_distinct("rule").alias("n")).filter(F.col("n") == len(rules))
-        blobs = blobs.join(full, "blob", "left_anti")
-    once = blobs.dropDuplicates(["blob"])
-    found = once.select("blob", F.explode(F.array(*(F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), _scan(F.col("content"), r).alias("spans")) for r in rules))).alias("f")).select("blob", "f.*")
-    return found if ledger is None else found.join(done.select("blob", "rule", "version"), ["blob", "rule", "version"], "left_anti")
+    """New ledger rows: findings of the pairs of content and rule version that `ledger` lacks (no spans: clean).
+
+    Which rows to read is settled on hashes; the texts then meet only the blobs with something to do.
+    """
+    keyed = versions.select(blob_of(F.col(text)).alias("blob"), F.xxhash64(*(F.col(f"`{c}`") for c in versions.columns if c != text and not versions.schema[c].dataType.simpleString().startswith("map"))).alias("row"), F.coalesce(text, F.lit("")).alias("content"))
+    once = keyed.groupBy("blob").agg(F.min("row").alias("row"))
+    every = F.array(*(F.lit(i) for i in range(len(rules))))
+    if ledger is None:
+        todo = once.withColumn("todo", every)
+    else:
+        number = F.coalesce(*(F.when((F.col("rule") == r.kind) & (F.col("version") == r.version), F.lit(i)) for i, r in enumerate(rules)))
+        done = ledger.select("blob", number.alias("i")).filter("i is not null").groupBy("blob").agg(F.collect_set("i").alias("done"))
+        todo = once.join(done, "blob", "left").select("blob", "row", F.array_except(every, F.coalesce("done", F.array().cast("array<int>"))).alias("todo")).filter(F.size("todo") > 0)
+    todo = written(todo, "ledger-todo")
+    met = keyed.join(todo.hint("shuffle_hash"), ["blob", "row"])
+    each = F.array(*(F.when(F.array_contains("todo", i), F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), _scan(F.col("content"), r).alias("spans"))) for i, r in enumerate(rules)))
+    found = met.select("blob", F.explode(F.array_compact(each)).alias("f")).select("blob", "f.*")
+    # A row that stands twice, equal in all columns, was read twice.
+    return found.groupBy("blob", "rule", "version").agg(F.first("spans").alias("spans"))
 
 
 def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -80,7 +90,7 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = R
 
 
 def scanned(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
-    """(findings of every row, the ledger's new rows); only contents with a hit or a new rule version are kept as rows."""
+    """(findings of every row, the ledger's new rows)."""
     new = written(scan(versions, ledger, rules, text), "ledger")
     return findings(versions, new if ledger is None else ledger.unionByName(new), rules, text, keep), new
 

@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkspark.llm.components import connected
-from inkspark.llm.store import written
+from inkspark.llm.words import apart
+from inkspark.sources.shared import written
 
 SHINGLE, SEED, DISTANCE, MOST = 4, 42, 4, 4096
 WIDTHS = (11, 11, 11, 11, 10, 10)
@@ -200,5 +201,6 @@ def grouped(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -
 def representatives(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """The rows of `docs` that stand for their component: those with its least doc_id. Rows without a doc_id stay,
     and so does each row that repeats that doc_id."""
-    groups = grouped(docs, distance, shingle).filter("component_id = doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(groups, docs["doc_id"] == groups["__id"], "left_semi").unionByName(docs.filter("doc_id is null"))
+    (i,) = apart(docs, "id")
+    groups = grouped(docs, distance, shingle).filter("component_id = doc_id").select(F.col("doc_id").alias(i)).distinct()
+    return docs.join(groups, docs["doc_id"] == groups[i], "left_semi").union(docs.filter("doc_id is null"))

@@ -1,69 +1,52 @@
 """URL filters (operator 10): rules first, then host word segmentation and multinomial naive Bayes.
 
-A host's names are split into words by unigram Viterbi: the word counts come from all pages' titles and paths (and
-the labelled names below), a part that is no known word costs the more the longer it is. Naive Bayes then adds the
-log odds of the host's words and of the path's words. Names, hosts and counts are tables throughout: each distinct
-name is split once, from the few hundred parts that a name can have, and scores are joined back to the pages.
-
-Defined cases: a null url, or one without "://", has an empty host and path and no evidence, so it is allowed;
-repeated rows get equal results; words that the training names lack are no evidence; an empty table gives an empty
-result; other columns are ignored.
+The names of a host and of its path, runs of letters, are split into words by unigram Viterbi: the word counts come
+from all pages' titles and paths, and a part that is no known word costs the more the longer it is. Naive Bayes adds
+the log odds of the words of host and path. It is fitted on labelled urls, which the query takes from the pages that
+rules decide: the classifier carries the rules' verdicts over to what is named alike. The rules' own names are no
+evidence then, as the labels follow from them. At most `sample` labelled rows are used, those of the least hashes (a
+bounded sample); counts for segmentation come from all rows.
+
+Names, words, urls and odds are tables throughout: each distinct name is split once, and a url's names meet their odds
+under salted keys, as a name like a language code may stand in a third of all urls.
+
+Defined cases: a null url, or one without "://", has an empty host and path and no evidence but the prior; repeated
+rows get equal results; words that the labelled rows lack are no evidence; without labelled rows all odds are 0 and
+nothing is blocked; names of any length are split whole; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkspark.llm.store import written
+from inkspark.sources.shared import written
 
 #: Fixed values: (host, path, verdict) rules.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: The labelled names that the classifier is fitted on, one page each.
-BLOCK = (
-    "cheap pills", "online casino", "casino win", "free bets", "adult x", "ads track", "ad server", "spam farm", "porn tube", "sex cams", "win big casino", "bet now", "free spins", "poker slots",
-    "cheap meds", "pills shop", "pay day loans", "fast cash loans", "xxx adult", "hot dating", "click track", "track ads", "popup ads", "link farm", "seo spam", "free iphone win", "lottery winner", "crack keygen", "warez download", "replica watches",
-)
-ALLOW = (
-    "blog", "news", "docs", "wiki", "library", "school", "university", "museum", "science", "health", "weather", "history", "recipes", "travel guide", "city council", "open source", "data", "research", "journal", "book club",
-    "music", "art", "garden", "sports club", "radio", "community", "forum", "help", "support", "about", "photo album", "kitchen", "parents", "chess", "poems", "farm shop", "market hall", "free library", "win win talks", "track and field",
-)
-#: Known words that are evidence of nothing.
-NEUTRAL = ("example", "com", "org", "net", "www", "m", "html", "index", "page", "en", "de", "fr", "es")
-LONGEST_WORD, LONGEST_NAME = 20, 63
-PRIOR_BLOCK, SMOOTHING = 0.1, 0.1  # expected share of pages to block; what is added to each count
-
-
-@dataclass(frozen=True)
-class Classifier:
-    odds: dict[str, float]  # log odds of block for each word
-    prior: float
-
-
-def fitted(block: tuple[str, ...] = BLOCK, allow: tuple[str, ...] = ALLOW, prior_block: float = PRIOR_BLOCK) -> Classifier:
-    """Multinomial naive Bayes with additive smoothing."""
-    seen = [Counter(w for name in names for w in name.split()) for names in (block, allow)]
-    words = set(seen[0]) | set(seen[1])
-    total = [sum(c.values()) + SMOOTHING * len(words) for c in seen]
-    odds = {w: math.log((seen[0][w] + SMOOTHING) / total[0]) - math.log((seen[1][w] + SMOOTHING) / total[1]) for w in sorted(words)}
-    return Classifier(odds, math.log(prior_block / (1 - prior_block)))
+LONGEST_WORD = 63  # letters of a known word: what a part of a host name can hold
+WINDOW = 512  # letters of a name that are looked up at a time, beside LONGEST_WORD of the next ones
+SAMPLE = 200_000  # labelled rows that the classifier is fitted on at most
+SMOOTHING = 0.5  # what is added to each count
+SALTS = 16
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, path of each row."""
+    """page_id, host, path and title of each row."""
     at = F.instr("url", "://")
     rest = F.when(at > 0, F.substring(F.col("url"), at + 3, F.length("url"))).otherwise("")
     lower = "".join(map(chr, range(65, 91))), "".join(map(chr, range(97, 123)))
     host = F.regexp_extract(F.col("rest"), "^[^/?#]*", 0)
     path = F.regexp_extract(F.substring(F.col("rest"), F.length(host) + 1, F.length("rest")), "^[^?#]*", 0)
-    out = pages.select("page_id", "url", *(["html"] if "html" in pages.columns else []), F.coalesce(rest, F.lit("")).alias("rest"))
-    return out.withColumns({"host": F.translate(host, *lower), "path": path}).drop("rest")
+    title = F.regexp_extract("html", "<title>([^<]*)", 1) if "html" in pages.columns else F.lit("")
+    out = pages.select("page_id", F.coalesce(title, F.lit("")).alias("title"), F.coalesce(rest, F.lit("")).alias("rest"))
+    return out.withColumns({"host": F.translate(host, *lower), "path": path}).select("page_id", "host", "path", "title")
 
 
 def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
@@ -72,29 +55,34 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return F.coalesce(*fits)
 
 
-def _words(text: Column) -> Column:
+def names_of(text: Column) -> Column:
+    """Runs of letters, in lower case."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
 
 
-def word_counts(pages: DataFrame) -> DataFrame:
-    """word, n over all titles and paths and the labelled names."""
-    title = F.regexp_extract("html", "<title>([^<]*)", 1) if "html" in pages.columns else F.lit("")
-    corpus = pages.select(F.explode(_words(F.concat_ws(" ", F.coalesce(title, F.lit("")), "path"))).alias("word"))
-    seeds = pages.sparkSession.createDataFrame([(w,) for name in BLOCK + ALLOW + NEUTRAL for w in name.split()], "word string")
-    return corpus.filter(F.length("word") <= LONGEST_WORD).union(seeds).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+def word_counts(rows: DataFrame) -> DataFrame:
+    """word, n over all titles and paths."""
+    words = rows.select(F.explode(names_of(F.concat_ws(" ", "title", "path"))).alias("word"))
+    return words.filter(F.length("word") <= LONGEST_WORD).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def split_name(length: int, parts: list[tuple[int, int, float]], total: float) -> list[tuple[int, int]]:
-    """Bounds of the likeliest words; parts: (start, end, count) of known words within the name."""
-    known = {(a, b): math.log10(n / total) for a, b, n in parts}
+    """Bounds of the likeliest words; parts: (start, end, count) of known words within the name.
+
+    A known word scores log10(n / total); an unknown one 1 - log10(total) less one for each letter, whatever its
+    length. Ties go to fewer words, then to the later start of the last one.
+    """
+    total = max(total, 1.0)
+    at_end: dict[int, list[tuple[int, float]]] = {}
+    for a, b, n in parts:
+        at_end.setdefault(b, []).append((a, math.log10(n / total)))
+    fresh = 1 - math.log10(total)
     best: list[tuple[float, int, int]] = [(0.0, 0, 0)]
+    run = (-math.inf, 0, 0)  # the best unknown word that ends here: its score, -words, start
     for end in range(1, length + 1):
-        tries = []
-        for start in range(max(0, end - LONGEST_WORD), end):
-            cost = known.get((start, end), 1 - math.log10(total) - (end - start))
-            tries.append((best[start][0] + cost, -(best[start][1] + 1), start))
-        score, words, start = max(tries)
-        best.append((score, -words, start))
+        opened = (best[end - 1][0] + fresh - 1, best[end - 1][1] - 1, end - 1)
+        run = max(opened, (run[0] - 1, run[1], run[2]))
+        best.append(max([run, *((best[a][0] + cost, best[a][1] - 1, a) for a, cost in at_end.get(end, ()))]))
     out, end = [], length
     while end:
         out.append((best[end][2], end))
@@ -103,35 +91,69 @@ def split_name(length: int, parts: list[tuple[int, int, float]], total: float) -
 
 
 def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
-    """name, words of each distinct name (of up to LONGEST_NAME letters; longer ones are split into such blocks)."""
-    total = counts.agg(F.sum("n").alias("total"))
-    blocks = names.select("name").distinct().withColumn("k", F.explode(F.expr(f"sequence(0, greatest(0, cast((length(name) - 1) / {LONGEST_NAME} as int)))")))
-    blocks = blocks.withColumn("block", F.substring("name", F.col("k") * LONGEST_NAME + 1, F.lit(LONGEST_NAME)))
-    at = F.explode(F.expr(f"flatten(transform(sequence(1, length(block)), i -> transform(sequence(i, least(length(block), i + {LONGEST_WORD} - 1)), j -> struct(i - 1 as a, j as b))))"))
-    parts = blocks.filter("block <> ''").select("name", "k", "block", at.alias("at")).select("name", "k", "block", "at.*").withColumn("word", F.expr("substring(block, a + 1, b - a)"))
-    known = parts.join(counts, "word", "left").groupBy("name", "k", "block").agg(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("a", "b", "n"))).alias("parts"))
+    """name, words of each distinct name.
+
+    Long names are looked up in windows that overlap by the longest known word, so that no word is cut.
+    """
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    once = names.select("name").filter("name <> ''").distinct()
+    windows = once.withColumn("k", F.explode(F.expr(f"sequence(0, cast((length(name) - 1) / {WINDOW} as int))")))
+    windows = windows.select("name", "k", F.expr(f"substring(name, k * {WINDOW} + 1, {WINDOW + LONGEST_WORD - 1})").alias("w"))
+    at = F.explode(F.expr(f"flatten(transform(sequence(1, least({WINDOW}, length(w))), i -> transform(sequence(i, least(length(w), i + {LONGEST_WORD} - 1)), j -> struct(i - 1 as a, j as b, substring(w, i, j - i + 1) as word))))"))
+    parts = windows.select("name", "k", at.alias("at")).select("name", (F.col("at.a") + F.col("k") * WINDOW).alias("a"), (F.col("at.b") + F.col("k") * WINDOW).alias("b"), "at.word")
+    known = parts.join(counts, "word").groupBy("name").agg(F.collect_list(F.struct("a", "b", "n")).alias("parts"))
+    every = once.join(known, "name", "left").withColumn("parts", F.coalesce("parts", F.array().cast("array<struct<a:int,b:int,n:bigint>>")))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            words = [[r.block[a:b] for a, b in split_name(len(r.block), [(p["a"], p["b"], p["n"]) for p in r.parts], float(r.total))] for r in frame.itertuples()]
-            yield pd.DataFrame({"name": frame["name"], "k": frame["k"], "words": words})
+            words = [[r.name[a:b] for a, b in split_name(len(r.name), [(p["a"], p["b"], p["n"]) for p in r.parts], float(r.total))] for r in frame.itertuples(index=False)]
+            yield pd.DataFrame({"name": frame["name"], "words": words})
+
+    return every.crossJoin(F.broadcast(total)).mapInPandas(run, "name string, words array<string>")
+
+
+def fitted(labelled: DataFrame, split: DataFrame, without: tuple[str, ...] = (), smoothing: float = SMOOTHING) -> tuple[DataFrame, DataFrame]:
+    """Multinomial naive Bayes of `labelled` (names, verdict): (word, odds) of the words but `without`, and a row with
+    `prior`, log odds of block."""
+    words = labelled.select("verdict", F.explode("names").alias("name")).groupBy("verdict", "name").agg(F.count(F.lit(1)).alias("c")).join(split, "name").select("verdict", "c", F.explode("words").alias("word"))
+    words = words.filter(~F.col("word").isin(*without)) if without else words
+    blocked = F.col("verdict") == "block"
+    per = words.groupBy("word").agg(F.sum(F.when(blocked, F.col("c")).otherwise(0)).alias("b"), F.sum(F.when(blocked, 0).otherwise(F.col("c"))).alias("a"))
+    sums = per.agg(F.sum("b").alias("sb"), F.sum("a").alias("sa"), F.count(F.lit(1)).alias("v"))
+    share = lambda n, of: F.ln((F.col(n) + smoothing) / (F.col(of) + smoothing * F.col("v")))
+    odds = per.crossJoin(F.broadcast(sums)).select("word", (share("b", "sb") - share("a", "sa")).alias("odds"))
+    sizes = labelled.agg(F.count_if(blocked).alias("b"), F.count_if(~blocked).alias("a"))
+    return odds, sizes.select(F.when(F.col("a") + F.col("b") > 0, F.ln((F.col("b") + smoothing) / (F.col("a") + smoothing))).otherwise(0.0).alias("prior"))
 
-    cut = known.crossJoin(F.broadcast(total)).mapInPandas(run, "name string, k int, words array<string>")
-    return cut.groupBy("name").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "words"))), lambda x: x["words"])).alias("words"))
 
+def judged(pages: DataFrame, rules: tuple = RULES, labelled: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
+    """page_id, host, path, rule, verdict, host_words and log_odds (of block) of each row.
 
-def judged(pages: DataFrame, rules: tuple = RULES, classifier: Classifier | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict, host_words and log_odds (of block) of each row."""
-    model = classifier or fitted()
+    labelled: (url, verdict) rows to fit on; without it those of `pages` that a rule decides.
+    """
     rows = parsed(pages)
+    hit = rule_of(F.col("host"), F.col("path"), rules)
     counts = written(word_counts(rows), "url-words")
-    odds = F.create_map(*(F.lit(x) for pair in model.odds.items() for x in pair))
-    weight = lambda words: F.aggregate(words, F.lit(0.0), lambda a, w: a + F.coalesce(F.try_element_at(odds, w), F.lit(0.0)))
-    hosts = rows.select("host").distinct().withColumn("name", F.explode(F.expr(r"filter(split(host, '[^\\p{L}]+'), x -> x <> '')")))
-    split_up = segmented(hosts, counts)
-    scores = hosts.join(split_up, "name").groupBy("host").agg(F.sum(F.round(weight(F.col("words")), 9)).alias("host_odds"), F.array_sort(F.flatten(F.collect_list("words"))).alias("host_words"))
-    met = rows.drop("html", "url").join(written(scores, "hosts"), "host", "left")
-    log_odds = F.round(model.prior + F.coalesce("host_odds", F.lit(0.0)) + weight(_words(F.col("path"))), 6)
-    ruled = met.withColumns({"hit": rule_of(F.col("host"), F.col("path"), rules), "log_odds": log_odds})
+    without: tuple[str, ...] = ()
+    if labelled is None:
+        without = tuple(sorted({w for h, p, _ in rules for w in re.findall(r"[^\W\d_]+", f"{h} {p}".lower())}))
+        taught = rows.select("page_id", "host", "path", hit["verdict"].alias("verdict"))
+    else:
+        taught = parsed(labelled.select(F.col("verdict").alias("page_id"), "url")).select(F.lit(None).alias("page_id"), "host", "path", F.col("page_id").alias("verdict"))
+    names = lambda: names_of(F.concat_ws(" ", "host", "path"))
+    taught = taught.filter("verdict is not null").orderBy(F.xxhash64("page_id", "host", "path"), "host", "path").limit(sample).select("verdict", names().alias("names"))
+    taught = written(taught, "url-labels")
+    urls = rows.select("host", "path").distinct()
+    split = written(segmented(urls.select(F.explode(names()).alias("name")).union(taught.select(F.explode("names"))), counts), "url-names")
+    odds, prior = fitted(taught, split, without)
+    per_name = split.select("name", F.explode("words").alias("word")).join(odds, "word").groupBy("name").agg(F.sum(F.round("odds", 9)).alias("odds"))
+    per_name = per_name.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    each = urls.select("host", "path", F.explode(names()).alias("name"), F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int").alias("salt"))
+    scores = written(each.join(per_name, ["name", "salt"]).groupBy("host", "path").agg(F.sum("odds").alias("odds")), "url-odds")
+    hosts = rows.select("host").distinct()
+    cut = hosts.select("host", F.posexplode(names_of(F.col("host"))).alias("i", "name")).join(split, "name").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("i", "words"))).alias("w"))
+    shown = cut.select("host", F.array_join(F.flatten(F.transform("w", lambda x: x["words"])), " ").alias("host_words"))
+    met = rows.select("page_id", "host", "path").join(scores, ["host", "path"], "left").join(shown, "host", "left").crossJoin(F.broadcast(prior))
+    ruled = met.withColumns({"hit": hit, "log_odds": F.round(F.col("prior") + F.coalesce("odds", F.lit(0.0)), 6)})
     verdict = F.coalesce(F.col("hit.verdict"), F.when(F.col("log_odds") > 0, "block").otherwise("allow"))
-    return ruled.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"), F.array_join("host_words", " ").alias("host_words"), "log_odds")
+    return ruled.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"), "host_words", "log_odds")

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 U64 = np.uint64
 SPACE = np.zeros(256, bool)
@@ -24,6 +25,14 @@ INVERSE = pow(BASE, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
 
 
+def apart(df: DataFrame, *names: str) -> list[str]:
+    """Names for own columns that no column of `df` has, whatever the letter case."""
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in df.columns):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def trimmed() -> None:
     """Gives freed memory back to the system: a worker keeps what its largest batch took otherwise."""
     pa.set_memory_pool(pa.system_memory_pool())

@@ -38,7 +38,7 @@ def one_edit(a: tuple, b: tuple) -> bool:
     return len(a) == len(b) + 1 and any(a[:i] + a[i + 1 :] == b for i in range(len(a)))
 
 
-def dropped(docs: list[tuple], least: int = 10) -> set[tuple[int, int]]:
+def dropped(docs: list[tuple], least: int = 5) -> set[tuple[int, int]]:
     lines = [((i, k), tuple(words(line))) for i, t in docs if t is not None for k, line in enumerate(t.split("\n")) if words(line)]
     first: dict = {}
     for place, w in sorted(set(lines)):
@@ -104,3 +104,36 @@ def personal(text: str | None) -> tuple[tuple, str]:
         out += [(order, m.start(), m.end(), kind) for m in re.finditer(pattern, text) if fit(m)]
     joined = ",".join(f"{k}:{a}:{b}" for _, a, b, k in sorted(out))
     return tuple(sum(o[0] == i for o in out) for i in range(4)), hashlib.sha256(joined.encode()).hexdigest()
+
+
+def best_fit(lengths: list[int], capacity: int, most: int) -> list[tuple[int, int]]:
+    """(sequence, offset) of each piece in turn: the open sequence with the least free space that fits, of equal ones
+    the one touched last; beyond `most` open ones the fullest is closed."""
+    open_: list[list[int]] = []  # sequence, used; in the order of touches
+    out, number = [], 0
+    for n in lengths:
+        fit = [o for o in open_ if capacity - o[1] >= n]
+        if fit:
+            used = max(o[1] for o in fit)
+            at = [o for o in fit if o[1] == used][-1]
+            open_.remove(at)
+        else:
+            if len(open_) == most:
+                fullest = max(o[1] for o in open_)
+                open_.remove([o for o in open_ if o[1] == fullest][-1])
+            at, number = [number, 0], number + 1
+        out.append((at[0], at[1]))
+        at[1] += n
+        if at[1] < capacity:
+            open_.append(at)
+    return out
+
+
+def best_split(name: str, counts: dict[str, int]) -> float:
+    """The score of the best way to cut a name into words, over all ways."""
+    total = max(sum(counts.values()), 1)
+    cost = lambda w: max(np.log10(counts[w] / total) if w in counts else -np.inf, 1 - np.log10(total) - len(w))
+    best = [0.0]
+    for end in range(1, len(name) + 1):
+        best.append(max(best[a] + cost(name[a:end]) for a in range(end)))
+    return best[-1]
