@@ -50,7 +50,7 @@ def tone_variants(text: Column | str) -> Column:
 
 def typed(keys: Column | str) -> Column:
     """The syllables that keystrokes give: a later symbol of a kind takes the earlier one's place, a tone key ends the
-    syllable; null for keys without meaning or an end without tone."""
+    syllable, and a space where none is open is skipped; null for keys without meaning or an end without tone."""
     raw = F.lower(F.col(keys) if isinstance(keys, str) else keys)
     symbols = INITIALS + MEDIALS + FINALS
     none = F.struct(F.array().cast("array<string>").alias("out"), *(F.lit("").alias(k) for k in "imf"), F.lit(True).alias("ok"))
@@ -63,7 +63,7 @@ def typed(keys: Column | str) -> Column:
         body = F.concat(s["i"], s["m"], s["f"])
         ends = tone.isNotNull()
         done = ends & (body != "")
-        return F.struct(F.when(done, F.concat(s["out"], F.array(F.concat(body, tone)))).otherwise(s["out"]).alias("out"), *(F.when(ends, "").when(kind == k, symbol).otherwise(s[k]).alias(k) for k in "imf"), (s["ok"] & ((kind != "") | done)).alias("ok"))
+        return F.struct(F.when(done, F.concat(s["out"], F.array(F.concat(body, tone)))).otherwise(s["out"]).alias("out"), *(F.when(ends, "").when(kind == k, symbol).otherwise(s[k]).alias(k) for k in "imf"), (s["ok"] & ((kind != "") | done | ((key == " ") & (body == "")))).alias("ok"))
 
     return F.aggregate(F.filter(F.split(raw, ""), lambda k: k != ""), none, press, lambda s: F.when(s["ok"] & (F.concat(s["i"], s["m"], s["f"]) == ""), s["out"]))
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import html
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Character classes; han is the one of normalisation, han_bmp and han_wide those of other stages.
 SCRIPTS = {
@@ -14,14 +19,15 @@ SCRIPTS = {
 }
 #: What counts as white space in any script, as regular expressions' \s is ASCII only here.
 SPACE = r"\t\n\x0B\f\r \x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: Marks of a sentence's ends; full-width letters and digits; marks that become wide; list markers.
 BEGIN, END = "^", "$"
 FULL_DIGITS = "".join(chr(c) for r in ((0xFF10, 0xFF1A), (0xFF21, 0xFF3B), (0xFF41, 0xFF5B)) for c in range(*r))
 WIDE_MARKS = {",": "，", "?": "？", "!": "！", ":": "：", ";": "；", "(": "（", ")": "）"}
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+LIST_MARKER = rf"^[{SPACE}]*(?:第[{SPACE}]*[0-9一二三四五六七八九十百千]+[{SPACE}]*[條項款目編章節][{SPACE}]*|[（(]?[0-9一二三四五六七八九十]+[)）、.．][{SPACE}]*)+"
 #: Patterns of problem documents.
 URL, EMAIL = r"(?i)https?://|www\.", r"[\w.+-]+@[\w-]+\.[\w.]+"
 MARKUP = r"</?[a-zA-Z][^>]*>|```|&[a-z]+;|\[[^\]]*\]\([^)]*\)"
-CODE = r"\b(?:def|import|return|function|class|print)\b|==|=>"
+CODE = r"(?m)\b(?:def|import|return|function|class|print)\b|[;{}]\s*$|==|=>"
 PERSONAL_ID = r"\b[A-Z][12]\d{8}\b"
 PHONE = r"(?:\+?886[-\s]?|0)9\d{2}[-\s]?\d{3}[-\s]?\d{3}|\(?0\d{1,2}\)?[-\s]?\d{3,4}[-\s]?\d{4}"
 LONG_NUMBER = r"\d{6,}"
@@ -50,13 +56,25 @@ def script_ratio(text: Column | str, script: str = "han") -> Column:
     return F.when(seen > 0, F.length(script_key(text, script)) / seen).otherwise(F.lit(0.0))
 
 
+@F.pandas_udf(StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
+def composed(text: Column | str) -> Column:
+    """Unicode's composed form."""
+    return _composed(_c(text))
+
+
 def strip_markup(text: Column | str) -> Column:
-    """Block tags become breaks, other tags go, and the common entities are put back."""
+    """Block tags become breaks, other tags go, and all character references are put back."""
     out = F.regexp_replace(_c(text), r"(?i)</?(?:p|br|div|li|tr|h[1-6])\b[^>]*>", "\n")
-    out = F.regexp_replace(out, r"<[^>]+>", "")
-    for name, ch in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(ch))
-    return out
+    return _unescaped(F.regexp_replace(out, r"<[^>]+>", ""))
 
 
 def wide_marks(text: Column | str, script: str = "han") -> Column:
@@ -68,8 +86,8 @@ def wide_marks(text: Column | str, script: str = "han") -> Column:
 
 
 def normalised(text: Column | str, script: str = "han") -> Column:
-    """Breaks, markup, addresses, widths and spaces; text that is already in Unicode's composed form."""
-    out = strip_markup(F.regexp_replace(_c(text), r"\r\n?", "\n"))
+    """Composed form, breaks, markup, addresses, widths and spaces."""
+    out = strip_markup(F.regexp_replace(composed(text), r"\r\n?", "\n"))
     out = F.regexp_replace(F.regexp_replace(out, rf"https?://[^{SPACE}]+|www\.[^{SPACE}]+", " "), r"(?U)[\w.+-]+@[\w-]+\.[\w.]+", " ")
     out = wide_marks(F.translate(out, FULL_DIGITS, "".join(chr(ord(c) - 0xFEE0) for c in FULL_DIGITS)), script)
     out = F.regexp_replace(out, r"[ \t\x{3000}\x{A0}]+", " ")
@@ -79,8 +97,7 @@ def normalised(text: Column | str, script: str = "han") -> Column:
 def sentences(text: Column | str, script: str = "han", ends: str = "。！？；", comma: str = "，", least: int = 4, most: int = 120, ratio: float = 0.6) -> Column:
     """Usable sentences of normalised text: cut after an end mark or at a break, long ones packed again at commas."""
     cut = F.split(_c(text), rf"(?<=[{ends}])|\n")
-    marker = rf"^[{SPACE}]*(?:第[{SPACE}]*[0-9一二三四五六七八九十百千]+[{SPACE}]*[條項款目編章節][{SPACE}]*|[（(]?[0-9一二三四五六七八九十]+[)）、.．][{SPACE}]*)+"
-    clean = F.filter(F.transform(cut, lambda x: stripped(F.regexp_replace(x, marker, ""))), lambda x: x != "")
+    clean = F.filter(F.transform(cut, lambda x: stripped(F.regexp_replace(x, LIST_MARKER, ""))), lambda x: x != "")
     empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("held"))
 
     def pack(state: Column, part: Column) -> Column:
