@@ -11,9 +11,22 @@ def linear_percentile(value: str, q: float) -> Column:
     return F.percentile(value, F.lit(q))
 
 
-def nearest_percentile(value: str, q: float) -> Column:
-    """The value at rank (n - 1) q, rounded half to even."""
-    return F.element_at(F.sort_array(F.collect_list(value)), F.bround(F.lit(q) * (F.count(value) - 1)).cast("int") + 1)
+def nearest(rows: DataFrame, value: str, shares: tuple[float, ...], keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys and p<share>: the values at ranks (n - 1) q, rounded half to even; null without values.
+
+    Ranks come from counts of distinct values: a group's values are never listed."""
+    from pyspark.sql.window import Window
+
+    sizes = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__m"))
+    up = Window.partitionBy(*keys).orderBy("__v")
+    upto = sizes.withColumn("__upto", F.sum("__m").over(up)).withColumn("__all", F.sum("__m").over(Window.partitionBy(*keys)))
+    at = [F.min(F.when(F.col("__upto") > F.bround(F.lit(q) * (F.col("__all") - 1)), F.col("__v"))).alias(f"p{round(100 * q)}") for q in shares]
+    return upto.groupBy(*keys).agg(*at)
+
+
+def weight_summary(rows: DataFrame, weight: str) -> DataFrame:
+    """min, p25, median, p75, max by nearest rank."""
+    return nearest(rows, weight, (0.0, 0.25, 0.5, 0.75, 1.0)).select(F.col("p0").alias("min"), "p25", F.col("p50").alias("median"), "p75", F.col("p100").alias("max"))
 
 
 def summary(outcomes: DataFrame, rank: str, base: str, keys: tuple[str, ...] = ()) -> DataFrame:

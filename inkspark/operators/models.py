@@ -9,10 +9,13 @@ from inkspark.functions import text as tx
 from inkspark.operators import ngrams
 
 
-def positions(rows: DataFrame, order: int, keys: tuple[str, ...], text: str = "text") -> DataFrame:
-    """keys, i and the grams g1..g<order> that end at each token (the end mark is not scored)."""
-    padded = rows.select(*keys, tx.padded(tx.tokens(text), order).alias("t"))
-    at = padded.withColumn("i", F.explode(F.expr(f"filter(sequence({order}, size(t)), i -> i < size(t))")))
+def positions(rows: DataFrame, order: int, keys: tuple[str, ...], text: str = "text", left: str | None = None) -> DataFrame:
+    """keys, i and the grams g1..g<order> that end at each token (the end mark is not scored); left: the column with
+    what stands before the text."""
+    before = F.array_repeat(F.lit(tx.BEGIN), order - 1) if left is None else F.concat(F.array_repeat(F.lit(tx.BEGIN), order - 1), tx.tokens(F.coalesce(left, F.lit(""))))
+    own = F.concat(F.slice(before, F.size(before) - order + 2, F.lit(order - 1)) if left is not None and order > 1 else before, tx.tokens(text), F.array(F.lit(tx.END)))
+    padded = rows.select(*keys, own.alias("t"))
+    at = padded.withColumn("i", F.explode(F.expr(f"filter(sequence({order}, greatest(size(t), {order})), i -> i < size(t))")))
     return at.select(*keys, "i", *(F.array_join(F.slice("t", F.col("i") - n + 1, F.lit(n)), "").alias(f"g{n}") for n in range(1, order + 1)))
 
 
@@ -29,9 +32,17 @@ def _distinct(pos: DataFrame, order: int) -> DataFrame:
     return pos.select(*(f"g{n}" for n in range(1, order + 1))).distinct()
 
 
-def witten_bell(pos: DataFrame, counts: DataFrame, vocabulary: DataFrame | None = None, order: int = 3, least: int = 2) -> DataFrame:
-    """`pos` with p: each distinct gram's probability is found once and joined back."""
+def vocabulary(counts: DataFrame, characters: DataFrame) -> int:
+    """How many different tokens the counts and `characters` (char) have together."""
+    return counts.filter("n = 1").select("gram").union(characters.select("char")).distinct().count()
+
+
+def witten_bell(pos: DataFrame, counts: DataFrame, vocabulary_size: int | None = None, order: int = 3, least: int = 2) -> DataFrame:
+    """`pos` with p: each distinct gram's probability is found once and joined back. The vocabulary is that of the
+    counts where no size is given; a smaller one is an error."""
     sums = counts.filter("n = 1").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("V"))
+    if vocabulary_size is not None:
+        sums = sums.select("total", F.when(F.col("V") > vocabulary_size, F.raise_error(F.lit("the vocabulary is smaller than the types seen"))).otherwise(F.lit(vocabulary_size)).cast("long").alias("V"))
     follow = ngrams.followers(counts)
     kept = ngrams.pruned(counts, least, order)
     met = _with_tables(_distinct(pos, order), {n: kept.filter(F.col("n") == n) for n in range(1, order + 1)}, {n: follow for n in range(2, order + 1)}, order).crossJoin(F.broadcast(sums))
