@@ -1,7 +1,7 @@
-"""Queries over cases and candidates: rankings, metrics, paired tests, phonetics, lexicons and decoding.
+"""Queries over cases and candidates: rankings, metrics, paired tests and the keyboard.
 
 A case is a user and its candidates are the user's events, with the value as score and the event's number as base
-order; small worked tables stand where the driver's tables have nothing of the kind.
+order.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspark.functions import phonetics
-from inkspark.operators import lattice, lexicons, metrics, ranking
+from inkspark.operators import metrics, ranking
 from inkspark.plans.registry import query, table
 
 
@@ -76,9 +76,12 @@ def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id").agg(F.min(F.when(hit, F.col("rank"))).alias("rank"), F.min(F.when(hit, F.col("base"))).alias("base"))
 
 
-@query(f"""WITH {_RANKS} SELECT count(*) AS n, round(avg((rank <= 1)::INT::DOUBLE * 1), 6) AS top1 FROM (SELECT coalesce(rank, 1000000) AS rank FROM o)""".replace("avg((rank <= 1)::INT::DOUBLE * 1)", "avg(CASE WHEN rank <= 1 THEN 1.0::DOUBLE ELSE 0 END)").replace("AS top1", """AS top1,
-round(avg(CASE WHEN rank < 1000000 THEN 1.0::DOUBLE / rank ELSE 0 END), 6) AS mrr, round(avg(CASE WHEN rank <= 3 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_3, round(avg(CASE WHEN rank <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_5, round(avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_10,
-count(*) FILTER (rank < base) AS improved, count(*) FILTER (rank > base) AS worse, count(*) FILTER (rank = base) AS same""").replace("SELECT coalesce(rank, 1000000) AS rank FROM o", "SELECT coalesce(rank, 1000000) AS rank, coalesce(base, 1000000) AS base FROM o"))
+_OUTCOMES = f"WITH {_RANKS}, x AS (SELECT coalesce(rank, 1000000) AS rank, coalesce(base, 1000000) AS base FROM o)"
+
+
+@query(f"""{_OUTCOMES} SELECT count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS top1, round(avg(CASE WHEN rank < 1000000 THEN 1.0::DOUBLE / rank ELSE 0 END), 6) AS mrr,
+round(avg(CASE WHEN rank <= 3 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_3, round(avg(CASE WHEN rank <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_5, round(avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_10,
+count(*) FILTER (rank < base) AS improved, count(*) FILTER (rank > base) AS worse, count(*) FILTER (rank = base) AS same FROM x""")
 def recall_mrr_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = metrics.summary(_outcomes(spark, sf_dir), "rank", "base")
     return out.select("n", *(F.round(c, 6).alias(c) for c in ("top1", "mrr", "recall_3", "recall_5", "recall_10")), "improved", "worse", "same")
@@ -91,7 +94,7 @@ def percentile_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, list_sort(list(value))[round_even(0.95 * (count(*) - 1), 0)::INT + 1] AS p95 FROM events WHERE value IS NOT NULL GROUP BY 1")
 def percentile_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).filter("value is not null").groupBy("user_id").agg(metrics.nearest_percentile("value", 0.95).alias("p95"))
+    return metrics.nearest(_events(spark, sf_dir), "value", (0.95,), ("user_id",))
 
 
 _LABELS = "SELECT l.doc_id, d.lang, quality = 1 AS before, (quality = 1 AND toxic = 0) OR (quality = 0 AND d.n_chars % 3 = 0) AS after FROM labels l JOIN documents d USING (doc_id)"
@@ -121,83 +124,9 @@ def label_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").cube("quality", "toxic").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT role, turn, count(*) AS n, round(avg(len(text)), 6) AS mean_chars FROM conversations WHERE role = 'user' GROUP BY ALL")
+@query("SELECT role, turn, count(*) AS n, round(avg(len(text)), 6) AS mean_chars FROM conversations GROUP BY ALL")
 def role_turn_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").filter("role = 'user'").groupBy("role", "turn").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.length("text")), 6).alias("mean_chars"))
-
-
-_CONFIGS = [("base", 0.640, 0.95, 82.0, 10.0), ("a", 0.652, 0.96, 90.0, 12.0), ("b", 0.654, 0.97, 88.0, 40.0), ("c", 0.660, 0.91, 70.0, 9.0), ("d", 0.653, 0.97, 88.0, 11.0)]
-_VALUES = ", ".join(f"('{n}', {a}::DOUBLE, {g}::DOUBLE, {m}::DOUBLE, {s}::DOUBLE)" for n, a, g, m, s in _CONFIGS)
-
-
-@query(f"WITH c(name, top1, guard, ms, mb) AS (VALUES {_VALUES}), fit AS (SELECT * FROM c WHERE guard >= 0.94 AND ms <= 95), best AS (SELECT max(top1) AS b FROM fit) SELECT name, top1 FROM fit, best WHERE top1 >= b - (1 / 300 + 1e-9) ORDER BY ms, mb, name LIMIT 1")
-def selection_gate_tiebreak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    configs = spark.createDataFrame(_CONFIGS, "name string, top1 double, guard double, ms double, mb double")
-    return metrics.selected(configs, (F.col("guard") >= 0.94) & (F.col("ms") <= 95), "top1", (F.col("ms"), F.col("mb"), F.col("name"))).select("name", "top1")
-
-
-#: A small lexicon with tied homophones and a word of two readings, and cases over it.
-_CHARS = [("他", "ㄊㄚ", "1-1"), ("她", "ㄊㄚ", "1-2"), ("在", "ㄗㄞˋ", "1-3"), ("再", "ㄗㄞˋ", "1-4"), ("家", "ㄐㄧㄚ", "1-5"), ("加", "ㄐㄧㄚ", "2-6"), ("樂", "ㄌㄜˋ", "1-7"), ("樂", "ㄩㄝˋ", "2-7"), ("音", "ㄧㄣ", "1-8")]
-_RATED = [("在", 5, ["ㄗㄞˋ"]), ("再", 4, None), ("他", 5, None), ("在家", 3, None), ("音樂", 4, ["ㄧㄣ", "ㄩㄝˋ"]), ("快樂", 3, None)]
-_CASES = [("c1", ["ㄊㄚ", "ㄗㄞˋ", "ㄐㄧㄚ"]), ("c2", ["ㄧㄣ", "ㄩㄝˋ"]), ("c3", ["ㄊㄚ", "ㄅㄚ"])]
-
-
-def _lexicon(spark: SparkSession) -> DataFrame:
-    chars = spark.createDataFrame(_CHARS, "char string, reading string, cns_code string")
-    return lexicons.assembled(spark.createDataFrame(_RATED, "text string, tier int, readings array<string>"), chars)
-
-
-#: What assembly gives: rated words, and the other characters by plane.
-_LEXICON = "lexicon(text, reading, frequency) AS (VALUES ('在', 'ㄗㄞˋ', 1000.0::DOUBLE), ('再', 'ㄗㄞˋ', 200), ('他', 'ㄊㄚ', 1000), ('在家', 'ㄗㄞˋ ㄐㄧㄚ', 50), ('音樂', 'ㄧㄣ ㄩㄝˋ', 200), ('她', 'ㄊㄚ', 1), ('家', 'ㄐㄧㄚ', 1), ('加', 'ㄐㄧㄚ', 0.1), ('樂', 'ㄌㄜˋ', 1), ('樂', 'ㄩㄝˋ', 0.1), ('音', 'ㄧㄣ', 1))"
-
-
-@query(f"WITH {_LEXICON} SELECT text, reading, frequency FROM lexicon")
-def lexicon_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lexicon(spark)
-
-
-@query(f"WITH {_LEXICON} SELECT text, reading, row_number() OVER (PARTITION BY reading ORDER BY frequency DESC, text) AS rank, round(log10(frequency / (SELECT sum(frequency) FROM lexicon)), 6) AS log10_p FROM lexicon")
-def lexicon_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexicons.indexed(_lexicon(spark)).select("text", "reading", "rank", F.round("log10_p", 6).alias("log10_p"))
-
-
-_CASE_SQL = ", ".join(f"('{c}', {r})" for c, r in _CASES)
-
-
-@query(f"""WITH RECURSIVE {_LEXICON}, cases(case_id, readings) AS (VALUES {_CASE_SQL}), e AS (SELECT text, len(string_split(reading, ' ')) AS n, reading, log10(frequency / (SELECT sum(frequency) FROM lexicon)) AS p FROM lexicon),
-paths AS (SELECT case_id, readings, 0::BIGINT AS spot, '' AS text, 0.0::DOUBLE AS score, 0 AS segments FROM cases
-  UNION ALL SELECT case_id, readings, spot + e.n, paths.text || e.text, score + p, segments + 1 FROM paths JOIN e ON array_to_string(readings[spot + 1 : spot + e.n], ' ') = e.reading),
-best AS (SELECT case_id, text, max(score) AS score, arg_max(segments, (score, -segments)) AS segments FROM paths WHERE spot = len(readings) GROUP BY ALL)
-SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, segments, text) AS rank, text, round(score, 6) AS score, segments FROM best""")
-def kbest_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = spark.createDataFrame(_CASES, "case_id string, readings array<string>")
-    return lattice.decoded(cases, lexicons.indexed(_lexicon(spark)), longest=2).withColumn("score", F.round("score", 6))
-
-
-@query("SELECT * FROM (VALUES ('c1', true), ('c2', true), ('c3', false)) t(case_id, reachable)")
-def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = spark.createDataFrame(_CASES, "case_id string, readings array<string>")
-    return lattice.reachable(cases, _lexicon(spark), longest=2)
-
-
-_SYLLABLES = ["ㄓㄨㄤˋ", "˙ㄌㄜ", "ㄌㄜ˙", "ㄧ", "ㄨㄧ", "ˊ", "˙ㄌㄜˊ", "abc", "ㄇㄚˉ", "ㄅㄚㄅ"]
-
-
-@query("SELECT * FROM (VALUES ('ㄓㄨㄤˋ', 'ㄓㄨㄤˋ'), ('˙ㄌㄜ', 'ㄌㄜ˙'), ('ㄌㄜ˙', 'ㄌㄜ˙'), ('ㄧ', 'ㄧ'), ('ㄨㄧ', NULL), ('ˊ', NULL), ('˙ㄌㄜˊ', NULL), ('abc', NULL), ('ㄇㄚˉ', 'ㄇㄚ'), ('ㄅㄚㄅ', NULL)) t(raw, syllable)")
-def parse_syllable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(s,) for s in _SYLLABLES], "raw string").select("raw", phonetics.canonical("raw").alias("syllable"))
-
-
-@query("SELECT * FROM (VALUES ('ㄋㄧˇㄏㄠˇ', 'ㄋㄧˇ|ㄏㄠˇ'), ('ㄊㄚ ㄗㄞˋ', 'ㄊㄚ|ㄗㄞˋ'), ('ㄊㄚㄗㄞˋ', NULL), ('˙ㄌㄜ', NULL)) t(raw, reading)")
-def parse_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(s,) for s in ("ㄋㄧˇㄏㄠˇ", "ㄊㄚ ㄗㄞˋ", "ㄊㄚㄗㄞˋ", "˙ㄌㄜ")], "raw string")
-    return rows.select("raw", F.when(phonetics.reading("raw").isNotNull(), F.array_join(phonetics.reading("raw"), "|")).alias("reading"))
-
-
-@query("SELECT * FROM (VALUES ('su3cl3', 'ㄋㄧˇ|ㄏㄠˇ'), ('w8 y94', 'ㄊㄚ|ㄗㄞˋ'), ('su', NULL), ('?', NULL)) t(keys, reading)")
-def parse_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(s,) for s in ("su3cl3", "w8 y94", "su", "?")], "keys string")
-    return rows.select("keys", F.when(phonetics.typed("keys").isNotNull(), F.array_join(phonetics.typed("keys"), "|")).alias("reading"))
+    return table(spark, sf_dir, "conversations").groupBy("role", "turn").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.length("text")), 6).alias("mean_chars"))
 
 
 @query("WITH rows(r, s) AS (VALUES (0, '1234567890-'), (1, 'qwertyuiop'), (2, 'asdfghjkl;'), (3, 'zxcvbnm,./')), k AS (SELECT r, unnest(range(0, len(s))) AS c, s FROM rows), spots AS (SELECT r, c, s[c + 1] AS key FROM k) SELECT a.key AS key, b.key AS neighbour FROM spots a JOIN spots b ON (b.r = a.r AND abs(b.c - a.c) = 1) OR (b.r = a.r - 1 AND b.c IN (a.c, a.c + 1)) OR (b.r = a.r + 1 AND b.c IN (a.c - 1, a.c))")

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspark.operators import ngrams
-from inkspark.plans import case_queries, evaluation_queries, text_queries
+from inkspark.plans import case_queries, decoding_queries, derived_queries, evaluation_queries, phonetic_queries, score_queries, text_queries
 from inkspark.plans.registry import QUERIES, SQL, Query, table
 
-__all__ = ["case_queries", "evaluation_queries", "flagship", "oracle_sql", "queries", "text_queries"]
+__all__ = ["case_queries", "decoding_queries", "derived_queries", "evaluation_queries", "flagship", "oracle_sql", "phonetic_queries", "queries", "score_queries", "text_queries"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,21 +28,6 @@ def alternates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_name", F.array_join(cases.alternates("n_name", (("A", "E"), ("I", "Y"))), "|").alias("options"))
 
 
-_GROUPS = [("third_person", "他 她 它"), ("at_again", "在 再"), ("particle", "的 得 地")]
-
-
-@query("WITH g(name, characters) AS (VALUES ('third_person', '他 她 它'), ('at_again', '在 再'), ('particle', '的 得 地')) SELECT unnest(string_split(characters, ' ')) AS ch, name AS \"group\" FROM g")
-def character_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cases.character_groups(spark.createDataFrame(_GROUPS, "group string, characters string"))
-
-
-@query("SELECT * FROM (VALUES ('c1', 0, 'ㄋㄧˋ', 'ㄏㄠˇ'), ('c3', 1, 'ㄗㄞ', 'ㄊㄚˋ')) t(case_id, position, first, second)")
-def tone_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("c1", ["ㄋㄧˇ", "ㄏㄠˋ"]), ("c2", ["ㄋㄧˇ", "ㄏㄠˇ"]), ("c3", ["x", "ㄗㄞˋ", "ㄊㄚ"]), ("c4", ["ㄊㄚ"]), ("c5", []), ("c6", None), ("c7", ["ㄇㄚˊ", "ㄊㄚ"])]
-    known = [("ㄋㄧˋ",), ("ㄏㄠˇ",), ("ㄗㄞ",), ("ㄊㄚˋ",), ("ㄇㄚ",)]
-    return cases.tone_swaps(spark.createDataFrame(rows, "case_id string, readings array<string>"), spark.createDataFrame(known, "syllable string"))
-
-
 @query("SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 1 - quality ELSE quality END AS quality, toxic FROM labels EXCEPT ALL SELECT doc_id, quality, toxic FROM labels")
 def changed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkspark.functions import text as tx
-from inkspark.operators import corpus, lexicons, models, ngrams
+from inkspark.operators import corpus, guards, lexicons, models, ngrams
 from inkspark.plans.registry import query, table
 from inkspark.sources.shared import written
 
@@ -39,8 +39,13 @@ def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.counted(_docs(spark, sf_dir))
 
 
-def _run_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngrams.run_grams(_docs(spark, sf_dir), script="latin")
+def _written_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For models, which read them for each order."""
+    return written(_counts(spark, sf_dir), "counts")
+
+
+def _run_grams(spark: SparkSession, sf_dir: str, sizes: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
+    return ngrams.run_grams(_docs(spark, sf_dir), sizes, script="latin")
 
 
 @query(f"SELECT token, count(*) AS c FROM (SELECT unnest({_TOKENS}) AS token FROM documents) GROUP BY token")
@@ -76,12 +81,14 @@ SELECT n, gram, c, round(min(x), 6) AS pmi FROM parts GROUP BY ALL"""
 
 @query(f"SELECT * FROM ({_PMI}) WHERE n = 2")
 def pmi_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngrams.pmi(_run_grams(spark, sf_dir)).filter("n = 2").withColumn("pmi", F.round("pmi", 6))
+    grams = written(_run_grams(spark, sf_dir, (1, 2)), "grams")
+    return ngrams.pmi(grams).withColumn("pmi", F.round("pmi", 6))
 
 
 @query(f"SELECT * FROM ({_PMI}) WHERE n > 2")
 def pmi_min_cut_3_4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngrams.pmi(_run_grams(spark, sf_dir)).filter("n > 2").withColumn("pmi", F.round("pmi", 6))
+    grams = written(_run_grams(spark, sf_dir), "grams")
+    return ngrams.pmi(grams).filter("n > 2").withColumn("pmi", F.round("pmi", 6))
 
 
 _SHARE = f"""WITH {_RUNS}, sides AS (SELECT gram[1 : n - 1] AS gram, c FROM grams WHERE n > 1 UNION ALL SELECT gram[2 :], c FROM grams WHERE n > 1),
@@ -91,12 +98,12 @@ SELECT n, gram, c, round(coalesce(best, 0) / c, 6) AS share FROM grams LEFT JOIN
 
 @query(f"SELECT * FROM ({_SHARE}) WHERE n BETWEEN 2 AND 3")
 def extension_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngrams.extension_share(_run_grams(spark, sf_dir)).filter("n between 2 and 3").withColumn("share", F.round("share", 6))
+    return ngrams.extension_share(written(_run_grams(spark, sf_dir, (2, 3, 4)), "grams")).filter("n between 2 and 3").withColumn("share", F.round("share", 6))
 
 
 @query(f"SELECT n, count(*) AS grams, count(*) FILTER (share >= 0.9) AS fragments FROM ({_SHARE}) WHERE n BETWEEN 2 AND 3 GROUP BY n")
 def fragment_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shares = ngrams.extension_share(_run_grams(spark, sf_dir)).filter("n between 2 and 3")
+    shares = ngrams.extension_share(written(_run_grams(spark, sf_dir, (2, 3, 4)), "grams")).filter("n between 2 and 3")
     return shares.groupBy("n").agg(F.count(F.lit(1)).alias("grams"), F.count_if(F.round("share", 6) >= lexicons.FRAGMENT).alias("fragments"))
 
 
@@ -113,14 +120,14 @@ p3 AS (SELECT p2.* REPLACE (CASE WHEN f.total IS NULL THEN p ELSE (coalesce(a.c,
 @query(f"{_WB} SELECT item_id, count(*) AS n_tokens, round(sum(log10(p)), 6) AS log10_p FROM p3 GROUP BY 1")
 def wb_trigram_logprob(spark: SparkSession, sf_dir: str) -> DataFrame:
     pos = models.positions(table(spark, sf_dir, "benchmark"), 3, ("item_id",))
-    out = models.log_score(models.witten_bell(pos, _counts(spark, sf_dir)), ("item_id",))
+    out = models.log_score(models.witten_bell(pos, _written_counts(spark, sf_dir)), ("item_id",))
     return out.select("item_id", "n_tokens", F.round("log10_p", 6).alias("log10_p"))
 
 
 @query(f"{_WB} SELECT count(*) AS n_tokens, round(-sum(log10(p)) / count(*) * 3.321928094887362, 6) AS bits_per_token FROM p3")
 def bits_per_char(spark: SparkSession, sf_dir: str) -> DataFrame:
     pos = models.positions(table(spark, sf_dir, "benchmark"), 3, ("item_id",))
-    out = models.log_score(models.witten_bell(pos, _counts(spark, sf_dir)), ())
+    out = models.log_score(models.witten_bell(pos, _written_counts(spark, sf_dir)), ())
     return out.select("n_tokens", F.round("bits_per_token", 6).alias("bits_per_token"))
 
 
@@ -137,14 +144,14 @@ SELECT item_id, count(*) AS n_tokens, round(sum(log10(p)), 6) AS log10_p FROM p3
 @query(_KN)
 def kn_trigram_logprob(spark: SparkSession, sf_dir: str) -> DataFrame:
     pos = models.positions(table(spark, sf_dir, "benchmark"), 3, ("item_id",))
-    out = models.log_score(models.kneser_ney(pos, _counts(spark, sf_dir)), ("item_id",))
+    out = models.log_score(models.kneser_ney(pos, _written_counts(spark, sf_dir)), ("item_id",))
     return out.select("item_id", "n_tokens", F.round("log10_p", 6).alias("log10_p"))
 
 
 @query(f"""{_WB.replace("hit AS (SELECT item_id,", "hit AS (SELECT item_id, i,")} SELECT item_id, count(*) AS n_tokens, round(sum(log10(0.7::DOUBLE * p3.p + 0.3::DOUBLE * p1.p)), 6) AS log10_p FROM p3 JOIN p1 USING (item_id, i) GROUP BY 1""")
 def mixture_logprob(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven tenths of the trigram model and three tenths of the unigram model."""
-    counts = _counts(spark, sf_dir)
+    counts = _written_counts(spark, sf_dir)
     pos = models.positions(table(spark, sf_dir, "benchmark"), 3, ("item_id",))
     both = [(models.witten_bell(pos, counts), 0.7), (models.witten_bell(pos, counts, order=1, least=1), 0.3)]
     return models.log_score(models.mixed(both, ("item_id",)), ("item_id",)).select("item_id", "n_tokens", F.round("log10_p", 6).alias("log10_p"))
@@ -179,7 +186,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, k) AS
 
 @query(f"{_KEYED} SELECT doc_id, k, sentence FROM ranked WHERE r = 1")
 def dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = _sentences(_docs(spark, sf_dir)).withColumn("key", tx.script_key("sentence", "latin"))
+    keyed = written(_sentences(_docs(spark, sf_dir)).select("doc_id", "k", "sentence", tx.script_key("sentence", "latin").alias("key")), "sentences")
     return corpus.first_of(keyed, "key", ("doc_id", "k")).select("doc_id", "k", "sentence")
 
 
@@ -204,7 +211,7 @@ def cap_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.capped(_docs(spark, sf_dir).select("source", "doc_id", "text"), "source", "text", 5).select("source", "doc_id")
 
 
-_STRIP = r"replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '</?(?:p|br|div|li|tr|h[1-6])\b[^>]*>', chr(10), 'gi'), '<[^>]+>', '', 'g'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')".replace('\\"', '"')
+_STRIP = r"replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '</?(?:p|br|div|li|tr|h[1-6])\b[^>]*>', chr(10), 'gi'), '<[^>]+>', '', 'g'), '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&mdash;', '—'), '&hellip;', '…'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')".replace('\\"', '"')
 
 
 @query(f"SELECT page_id, {_STRIP} AS text FROM pages")
@@ -214,7 +221,7 @@ def strip_markup_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TESTS = {
     "url": "regexp_matches(text, '(?i)https?://|www\\.')", "email": r"regexp_matches(text, '[\w.+-]+@[\w-]+\.[\w.]+')",
-    "markup_or_code": r"(regexp_matches(text, '</?[a-zA-Z][^>]*>|```|&[a-z]+;|\[[^\]]*\]\([^)]*\)') OR len(regexp_extract_all(text, '\b(?:def|import|return|function|class|print)\b|==|=>')) >= 2)",
+    "markup_or_code": r"(regexp_matches(text, '</?[a-zA-Z][^>]*>|```|&[a-z]+;|\[[^\]]*\]\([^)]*\)') OR len(regexp_extract_all(text, '(?m)\b(?:def|import|return|function|class|print)\b|[;{}]\s*$|==|=>')) >= 2)",
     "personal_id": r"regexp_matches(text, '\b[A-Z][12]\d{8}\b')", "phone": r"regexp_matches(text, '(?:\+?886[-\s]?|0)9\d{2}[-\s]?\d{3}[-\s]?\d{3}|\(?0\d{1,2}\)?[-\s]?\d{3,4}[-\s]?\d{4}')",
     "long_number": r"regexp_matches(text, '\d{6,}')",
 }
@@ -231,19 +238,6 @@ def document_problem_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select(F.explode(tx.problems("text")).alias("problem")).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
-_SETS = f"""keyed AS (SELECT item_id AS key, 'b' AS side, regexp_replace(text, '[^{LATIN}]', '', 'g') AS k FROM benchmark
-  UNION ALL SELECT min(conv_id * 1000 + turn), 'c', key FROM (SELECT conv_id, turn, regexp_replace(text, '[^{LATIN}]', '', 'g') AS key FROM conversations) GROUP BY key),
-sets AS (SELECT key, side, CASE WHEN len(k) < 4 THEN [k] ELSE list_distinct(list_transform(range(1, len(k) - 2), lambda i: k[i : i + 3])) END AS s FROM keyed WHERE k <> '')"""
-
-
-@query(f"WITH {_SETS}, x AS (SELECT key, len(s) AS n, unnest(s) AS g FROM sets WHERE side = 'c'), hit AS (SELECT a.key AS a_key, b.key AS b_key, a.n AS an, b.n AS bn, count(*) AS m FROM x a JOIN x b USING (g) WHERE a.key < b.key GROUP BY ALL) SELECT a_key, b_key, round(m / (an + bn - m), 6) AS similarity FROM hit WHERE m / (an + bn - m) >= 0.7")
-def exact_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of different turns; equal turns are one, by their least key."""
-    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), tx.script_key("text", "latin").alias("k"))
-    sets = corpus.shingle_table(turns.groupBy("k").agg(F.min("key").alias("key")), "key", "k", 4, "latin")
-    return corpus.similar(sets, sets, 0.7).filter("a_key < b_key").withColumn("similarity", F.round("similarity", 6))
-
-
 @query()
 def document_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates of all documents: `member` rows give each document (b_key) its representative (a_key), the least
@@ -297,19 +291,9 @@ def _words(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "lang", "source", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ]+"), F.lit(0)))).alias("word"))
 
 
-@query(f"WITH {_WORDS}, totals AS (SELECT lang, sum(c) AS total FROM per GROUP BY 1), rates AS (SELECT word, per.lang, c / total AS rate FROM per JOIN totals USING (lang)) SELECT word, arg_max(lang, rate) AS lang, round(max(rate) / sum(rate), 6) AS share FROM rates GROUP BY word HAVING count(*) = count(DISTINCT rate)")
+@query(f"WITH {_WORDS}, totals AS (SELECT lang, sum(c) AS total FROM per GROUP BY 1), rates AS (SELECT word, per.lang, c / total AS rate FROM per JOIN totals USING (lang)) SELECT word, arg_min(lang, (-rate, lang)) AS lang, round(max(rate) / sum(rate), 6) AS share FROM rates GROUP BY 1")
 def domain_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words whose rates differ between languages (ties go to the least language name and are tested apart)."""
-    per = _words(_docs(spark, sf_dir)).groupBy("word", "lang").agg(F.count(F.lit(1)).alias("c"))
-    totals = per.groupBy("lang").agg(F.sum("c").alias("total"))
-    distinct = per.join(totals, "lang").groupBy("word").agg(F.count_distinct(F.col("c") / F.col("total")).alias("d"), F.count(F.lit(1)).alias("m")).filter("d = m")
-    found = lexicons.concentration(per, "word", "lang", "c").join(distinct, "word", "left_semi")
-    return found.select("word", "lang", F.round("share", 6).alias("share"))
-
-
-@query()
-def domain_concentration_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every word, those with equal rates in some languages too: a tie at the maximum goes to the least language."""
+    """Every word's language of the highest rate; a tie goes to the least language."""
     per = _words(_docs(spark, sf_dir)).groupBy("word", "lang").agg(F.count(F.lit(1)).alias("c"))
     return lexicons.concentration(per, "word", "lang", "c").select("word", "lang", F.round("share", 6).alias("share"))
 
@@ -320,11 +304,11 @@ def doc_source_frequency_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("word").agg(F.sum("m").alias("docs"), F.count(F.lit(1)).alias("sources")).filter("docs >= 5 and sources >= 3")
 
 
-_DF = f"WITH {_WORDS}, df AS (SELECT word, count(*) AS docs FROM words GROUP BY 1 HAVING count(*) >= 2)"
+_DF = f"WITH {_WORDS}, df AS (SELECT word, count(*) AS docs FROM words GROUP BY 1)"
 
 
 def _df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _words(_docs(spark, sf_dir)).groupBy("word").agg(F.count(F.lit(1)).alias("docs")).filter("docs >= 2")
+    return _words(_docs(spark, sf_dir)).groupBy("word").agg(F.count(F.lit(1)).alias("docs"))
 
 
 @query(f"{_DF} SELECT word, docs, round(least(greatest(10 * docs / (SELECT median(docs) FROM df), 3), 200), 6) AS weight FROM df")
@@ -360,3 +344,33 @@ def set_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = langs.select(F.explode(F.expr("flatten(transform(l, (x, i) -> transform(slice(l, i + 2, size(l)), y -> struct(x as a, y as b))))")).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("shared"))
     met = pairs.join(sizes.select(F.col("lang").alias("a"), F.col("m").alias("x")), "a").join(sizes.select(F.col("lang").alias("b"), F.col("m").alias("y")), "b")
     return met.select("a", "b", "shared", F.round(F.col("shared") / (F.col("x") + F.col("y") - F.col("shared")), 6).alias("jaccard"))
+
+
+@query(rf"""WITH {_SENTENCES} SELECT source, count(*) AS sentences, count(DISTINCT sentence) AS texts, round(avg(len(sentence)), 6) AS mean_chars, round(avg(CASE WHEN contains(sentence, '?') THEN 1.0::DOUBLE ELSE 0 END), 6) AS questions, round(1000 * sum(CASE WHEN regexp_matches(sentence, '[aeiou][^{LATIN}]*$') THEN 1 ELSE 0 END) / count(*), 6)::DOUBLE AS finals_per_thousand,
+round(max(m) / count(*), 6)::DOUBLE AS top_document FROM (SELECT *, count(*) OVER (PARTITION BY source, doc_id) AS m FROM sentences) GROUP BY 1""")
+def corpus_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions, final vowels (as final particles are counted) and the largest document's share, by source."""
+    s = written(_sentences(_docs(spark, sf_dir)).select("source", "doc_id", "sentence"), "sentences")
+    final = F.rlike("sentence", F.lit(f"[aeiou][^{tx.SCRIPTS['latin']}]*$"))
+    top = s.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("m")).groupBy("source").agg(F.max("m").alias("m"))
+    texts = s.select("source", "sentence").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("texts"))
+    per = s.groupBy("source").agg(F.count(F.lit(1)).alias("sentences"), F.round(F.avg(F.length("sentence")), 6).alias("mean_chars"), F.round(F.avg(F.when(F.contains("sentence", F.lit("?")), 1.0).otherwise(0.0)), 6).alias("questions"), F.round(1000 * F.count_if(final) / F.count(F.lit(1)), 6).alias("finals_per_thousand"))
+    return per.join(texts, "source").join(top, "source").select("source", "sentences", "texts", "mean_chars", "questions", "finals_per_thousand", F.round(F.col("m") / F.col("sentences"), 6).alias("top_document"))
+
+
+@query(f"""WITH {_RUNS}, known AS (SELECT DISTINCT gram FROM each WHERE len(gram) = 3), gold AS (SELECT regexp_replace(text, '[^{LATIN}]', '', 'g') AS k FROM benchmark), t AS (SELECT unnest(list_transform(range(1, len(k) - 1), lambda i: k[i : i + 2])) AS gram FROM gold)
+SELECT count(*) AS tokens, count(*) FILTER (gram IN (SELECT gram FROM known)) AS hit FROM t""")
+def evaluation_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many letter trigrams of the benchmark items stand in documents."""
+    grams = _run_grams(spark, sf_dir, (3,)).select("gram")
+    return guards.covered(grams, table(spark, sf_dir, "benchmark"), 3, "latin")
+
+
+@query(rf"""WITH {_SENTENCES} SELECT doc_id, k, CASE WHEN contains(sentence, 'é') THEN 'simplified' WHEN regexp_matches(sentence, '[à-ÿ]') THEN 'non_standard' END AS drop FROM sentences""")
+def sentence_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first failing check of each sentence; letters with an acute e count as simplified, other accents as not standard."""
+    s = _sentences(_docs(spark, sf_dir))
+    chars = lambda text: spark.createDataFrame([(c,) for c in text], "char string")
+    standard = "".join(chr(c) for c in range(0x41, 0xE0))
+    marked = guards.classified(s, "sentence", chars("é"), chars(standard), script="latin")
+    return corpus.inspected(marked, "sentence", "latin").select("doc_id", "k", F.coalesce("drop", F.when(F.col("script_class").isin("simplified", "non_standard"), F.col("script_class"))).alias("drop"))
