@@ -4,8 +4,8 @@ The names of a host and of its path, runs of letters, are split into words by un
 from all pages' titles and paths, and a part that is no known word costs the more the longer it is. Naive Bayes adds
 the log odds of the words of host and path. It is fitted on labelled urls, which the query takes from the pages that
 rules decide: the classifier carries the rules' verdicts over to what is named alike. The rules' own names are no
-evidence then, as the labels follow from them. At most `sample` labelled rows are used, those of the least hashes (a
-bounded sample); counts for segmentation come from all rows.
+evidence then, as the labels follow from them. `sample` labelled rows are used, those of the least hashes (a bounded
+sample, kept by a threshold on the hash); counts for segmentation come from all rows.
 
 Names, words, urls and odds are tables throughout: each distinct name is split once, and a url's names meet their odds
 under salted keys, as a name like a language code may stand in a third of all urls.
@@ -32,7 +32,7 @@ from inkspark.sources.shared import written
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 LONGEST_WORD = 63  # letters of a known word: what a part of a host name can hold
 WINDOW = 512  # letters of a name that are looked up at a time, beside LONGEST_WORD of the next ones
-SAMPLE = 200_000  # labelled rows that the classifier is fitted on at most
+SAMPLE = 200_000  # labelled rows that the classifier is fitted on, or nearly
 SMOOTHING = 0.5  # what is added to each count
 SALTS = 16
 
@@ -113,19 +113,29 @@ def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def fitted(labelled: DataFrame, split: DataFrame, without: tuple[str, ...] = (), smoothing: float = SMOOTHING) -> tuple[DataFrame, DataFrame]:
-    """Multinomial naive Bayes of `labelled` (names, verdict): (word, odds) of the words but `without`, and a row with
-    `prior`, log odds of block."""
-    words = labelled.select("verdict", F.explode("names").alias("name")).groupBy("verdict", "name").agg(F.count(F.lit(1)).alias("c")).join(split, "name").select("verdict", "c", F.explode("words").alias("word"))
-    words = words.filter(~F.col("word").isin(*without)) if without else words
+    """Multinomial naive Bayes of `labelled` (names, verdict, copies): (word, odds) of the words but `without`, and a
+    row with `prior`, log odds of block."""
     blocked = F.col("verdict") == "block"
-    per = words.groupBy("word").agg(F.sum(F.when(blocked, F.col("c")).otherwise(0)).alias("b"), F.sum(F.when(blocked, 0).otherwise(F.col("c"))).alias("a"))
+    count = lambda of: F.sum(F.when(of, F.col("copies")).otherwise(0))
+    names = labelled.select("verdict", "copies", F.explode("names").alias("name")).groupBy("name").agg(count(blocked).alias("b"), count(~blocked).alias("a"))
+    words = names.join(split, "name").select("a", "b", F.explode("words").alias("word"))
+    words = words.filter(~F.col("word").isin(*without)) if without else words
+    per = words.groupBy("word").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
     sums = per.agg(F.sum("b").alias("sb"), F.sum("a").alias("sa"), F.count(F.lit(1)).alias("v"))
     share = lambda n, of: F.ln((F.col(n) + smoothing) / (F.col(of) + smoothing * F.col("v")))
     odds = per.crossJoin(F.broadcast(sums)).select("word", (share("b", "sb") - share("a", "sa")).alias("odds"))
-    sizes = labelled.agg(F.count_if(blocked).alias("b"), F.count_if(~blocked).alias("a"))
+    sizes = labelled.agg(count(blocked).alias("b"), count(~blocked).alias("a"))
     return odds, sizes.select(F.when(F.col("a") + F.col("b") > 0, F.ln((F.col("b") + smoothing) / (F.col("a") + smoothing))).otherwise(0.0).alias("prior"))
 
 
+def _sampled(labelled: DataFrame, sample: int) -> DataFrame:
+    """`labelled` urls (host, path, verdict, copies) of the least hashes: `sample` rows or nearly, without a sort."""
+    rows = labelled.agg(F.sum("copies")).first()[0] or 0
+    if rows <= sample:
+        return labelled
+    return labelled.filter(F.pmod(F.xxhash64("host", "path"), F.lit(1 << 32)) < int((1 << 32) * sample / rows))
+
+
 def judged(pages: DataFrame, rules: tuple = RULES, labelled: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
     """page_id, host, path, rule, verdict, host_words and log_odds (of block) of each row.
 
@@ -134,26 +144,24 @@ def judged(pages: DataFrame, rules: tuple = RULES, labelled: DataFrame | None =
     rows = parsed(pages)
     hit = rule_of(F.col("host"), F.col("path"), rules)
     counts = written(word_counts(rows), "url-words")
+    names = names_of(F.concat_ws(" ", "host", "path"))
+    urls = written(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("copies")), "urls")
     without: tuple[str, ...] = ()
     if labelled is None:
         without = tuple(sorted({w for h, p, _ in rules for w in re.findall(r"[^\W\d_]+", f"{h} {p}".lower())}))
-        taught = rows.select("page_id", "host", "path", hit["verdict"].alias("verdict"))
+        taught = urls.select("host", "path", hit["verdict"].alias("verdict"), "copies").filter("verdict is not null")
     else:
-        taught = parsed(labelled.select(F.col("verdict").alias("page_id"), "url")).select(F.lit(None).alias("page_id"), "host", "path", F.col("page_id").alias("verdict"))
-    names = lambda: names_of(F.concat_ws(" ", "host", "path"))
-    taught = taught.filter("verdict is not null").orderBy(F.xxhash64("page_id", "host", "path"), "host", "path").limit(sample).select("verdict", names().alias("names"))
-    taught = written(taught, "url-labels")
-    urls = rows.select("host", "path").distinct()
-    split = written(segmented(urls.select(F.explode(names()).alias("name")).union(taught.select(F.explode("names"))), counts), "url-names")
+        taught = parsed(labelled.select(F.col("verdict").alias("page_id"), "url")).select("host", "path", F.col("page_id").alias("verdict")).filter("verdict is not null").groupBy("host", "path", "verdict").agg(F.count(F.lit(1)).alias("copies"))
+    taught = _sampled(taught, sample).select("verdict", "copies", names.alias("names"))
+    split = written(segmented(urls.select(F.explode(names).alias("name")).union(taught.select(F.explode("names"))), counts), "url-names")
     odds, prior = fitted(taught, split, without)
-    per_name = split.select("name", F.explode("words").alias("word")).join(odds, "word").groupBy("name").agg(F.sum(F.round("odds", 9)).alias("odds"))
-    per_name = per_name.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    each = urls.select("host", "path", F.explode(names()).alias("name"), F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int").alias("salt"))
-    scores = written(each.join(per_name, ["name", "salt"]).groupBy("host", "path").agg(F.sum("odds").alias("odds")), "url-odds")
-    hosts = rows.select("host").distinct()
-    cut = hosts.select("host", F.posexplode(names_of(F.col("host"))).alias("i", "name")).join(split, "name").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("i", "words"))).alias("w"))
-    shown = cut.select("host", F.array_join(F.flatten(F.transform("w", lambda x: x["words"])), " ").alias("host_words"))
-    met = rows.select("page_id", "host", "path").join(scores, ["host", "path"], "left").join(shown, "host", "left").crossJoin(F.broadcast(prior))
+    known = split.select("name", F.explode("words").alias("word")).join(odds, "word").groupBy("name").agg(F.sum(F.round("odds", 9)).alias("odds"))
+    per_name = split.join(known, "name", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = F.size(names_of(F.col("host")))
+    each = urls.select("host", "path", own.alias("own"), F.posexplode(names).alias("i", "name"), F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int").alias("salt"))
+    scores = each.join(per_name, ["name", "salt"]).groupBy("host", "path").agg(F.sum("odds").alias("odds"), F.array_sort(F.collect_list(F.when(F.col("i") < F.col("own"), F.struct("i", "words")))).alias("w"))
+    scores = written(scores.select("host", "path", "odds", F.array_join(F.flatten(F.transform("w", lambda x: x["words"])), " ").alias("host_words")), "url-odds")
+    met = rows.select("page_id", "host", "path").join(scores, ["host", "path"], "left").crossJoin(F.broadcast(prior))
     ruled = met.withColumns({"hit": hit, "log_odds": F.round(F.col("prior") + F.coalesce("odds", F.lit(0.0)), 6)})
     verdict = F.coalesce(F.col("hit.verdict"), F.when(F.col("log_odds") > 0, "block").otherwise("allow"))
     return ruled.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"), "host_words", "log_odds")
