@@ -31,14 +31,17 @@ class CachedEncoder:
 
     The tokenizer's pieces never hold white space, so a text's ids are those of its words in turn. Words unknown
     so far are encoded many at a time: in a line of plain words each ends with the one piece that has a word end.
-    The memory is bounded: beyond `limit` words it begins anew.
+    The memory is bounded: beyond `limit` words a new generation begins, and of the last one only those that come again
+    are taken over.
     """
 
-    def __init__(self, file: str, limit: int = 250_000):
+    def __init__(self, file: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(file), limit, {}
+        self.tokenizer, self.limit = Tokenizer.from_file(file), limit
+        self.known: dict[bytes, bytes] = {}
+        self.last: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -60,6 +63,10 @@ class CachedEncoder:
             self.known.update(zip(some, map(raw.__getitem__, map(slice, at[:-1], at[1:])), strict=True))
 
     def _learn(self, words: set[bytes]) -> None:
+        if self.last:
+            again = words.intersection(self.last)
+            self.known.update((w, self.last[w]) for w in again)
+            words = words.difference(again)
         # A mark after an ASCII letter or digit is a piece of its own.
         marked = [w for w in words if w[-1:] in (b".", b",") and w[-2:-1].isalnum()]
         stems = {w[:-1] for w in marked}
@@ -71,7 +78,7 @@ class CachedEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > self.limit:
-            self.known = {}
+            self.known, self.last = {}, self.known
         # Letter case is lost in any case, but marked-up tokens and combining marks are looked at as they are.
         words = [(t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
         self._learn(set().union(*words).difference(self.known))
