@@ -254,12 +254,15 @@ def _stepped(levels: DataFrame, params: DataFrame, support: float) -> DataFrame:
     cols = [F.col(c) for c in _NAMES]
     # Distances on a grid of 0.1 %: an exact quantile of a bounded number of values, the same in any order.
     near = levels.join(params.select("level", "start", "members", "mean", "inverse"), "level").withColumn("d", F.round(1000 * F.log1p(distance(cols, F.col("mean"), F.col("inverse")))).cast("long"))
-    bound = near.groupBy("level", "start").agg(F.percentile("d", F.lit(support)).alias("bound"))
+    # A written table has a size that is known: it is broadcast only where it is small.
+    bound = written(near.groupBy("level", "start").agg(F.percentile("d", F.lit(support)).alias("bound")), "mcd-bound")
     central = near.join(bound, ["level", "start"]).filter(F.col("d") <= F.ceil("bound"))
     sums = central.groupBy("level", "start").agg(F.first("members").alias("members"), F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)), *(F.sum(cols[i] * cols[j]).alias(f"p{k}") for k, (i, j) in enumerate(_PAIRS)))
     shaped = sums.select("level", "start", "members", "n", F.array(*(F.col(f"s{i}").cast("double") for i in range(_DIM))).alias("sums"), F.array(*(F.col(f"p{k}").cast("double") for k in range(len(_PAIRS)))).alias("products"))
     factor = consistency(support)
-    return written(shaped.mapInPandas(lambda rows: _from_sums(rows, factor), _STEP), "mcd")
+    out = written(shaped.mapInPandas(lambda rows: _from_sums(rows, factor), _STEP), "mcd")
+    forget(bound)
+    return out
 
 
 def estimated(vecs: DataFrame, rules: OutlierRules) -> DataFrame:
