@@ -15,22 +15,31 @@ other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from inkspark.llm.words import chunks
+
 CAPACITY, CLOSING_ID, OPEN_BINS, ROWS = 4096, 1, 64, 8192
+SLICE = 3 << 20  # bytes of text that are encoded at a time, or one text
+
+#: Pieces that the tokenizer cuts lower-case words into, where they hold no apostrophe: letters, digits one by one, marks.
+PIECES, WIDE_PIECES = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+"), re.compile(r"[^\W\d_]+|[0-9]|[\W_]+")
 
 
 class CachedEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, with the ids of known words at hand.
 
-    The tokenizer's pieces never hold white space, so a text's ids are those of its words in turn. Words unknown
-    so far are encoded many at a time: in a line of plain words each ends with the one piece that has a word end.
+    The tokenizer's pieces never hold white space, so a text's ids are those of its words in turn, and a word's those of
+    its pieces. Letters unknown so far are encoded many words at a time: in a line of words of letters each ends with
+    the one piece that has a word end.
     The memory is bounded: beyond `limit` words a new generation begins, and of the last one only those that come again
     are taken over.
     """
@@ -40,7 +49,7 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(file), limit
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {b"": b""}
         self.last: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -62,28 +71,64 @@ class CachedEncoder:
             raw, at = ids.tobytes(), [0, *at.tolist()]
             self.known.update(zip(some, map(raw.__getitem__, map(slice, at[:-1], at[1:])), strict=True))
 
-    def _learn(self, words: set[bytes]) -> None:
-        if self.last:
-            again = words.intersection(self.last)
-            self.known.update((w, self.last[w]) for w in again)
-            words = words.difference(again)
-        # A mark after an ASCII letter or digit is a piece of its own.
-        marked = [w for w in words if w[-1:] in (b".", b",") and w[-2:-1].isalnum()]
-        stems = {w[:-1] for w in marked}
-        wanted = (words.difference(marked) | stems | {b".", b","}).difference(self.known)
-        plain = [w for w in wanted if w.isalpha() or ((t := w.decode("utf-8", "replace")).isalpha() and max(t) < "\u0250" and "\u0130" not in t)]
-        self._plain(plain)
-        self._each(list(wanted.difference(plain)))
-        self.known.update((w, self.known[w[:-1]] + self.known[w[-1:]]) for w in marked)
+    def _recalled(self, words: set[bytes]) -> set[bytes]:
+        """Takes over what the last generation knew; the words that are left."""
+        words = words.difference(self.known)
+        if not self.last:
+            return words
+        last = self.last
+        again = {w: last[w] for w in words if w in last}
+        self.known.update(again)
+        return words.difference(again)
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    def _learn(self, words: set[bytes]) -> None:
+        plain, single, cut = [], [], {}
+        for w in self._recalled(words):
+            if w.isalpha():
+                plain.append(w)
+            elif b"'" in w or b"<|" in w:
+                single.append(w)
+            elif w.isascii():
+                cut[w] = PIECES.findall(w.lower())
+            else:
+                t = w.decode("utf-8", "replace").lower()
+                if max(t) >= "\u0250" or "\u0307" in t or not all(c.isascii() or c.isalpha() for c in t):
+                    single.append(w)
+                elif t.isalpha():
+                    plain.append(w)
+                else:
+                    cut[w] = [p.encode() for p in WIDE_PIECES.findall(t)]
+        pieces = self._recalled(set().union(*cut.values()))
+        letters = {p for p in pieces if p[-1:].isalpha() or p[-1] > 127}
+        self._plain([*plain, *letters.difference(plain)])
+        self._each([*single, *pieces.difference(letters)])
+        known = self.known
+        known.update((w, b"".join([known[p] for p in parts])) for w, parts in cut.items())
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a column of strings, one text after another, and where each text's begin and end.
+
+        Words are told apart and looked up once for the whole column; their ids are then laid out by arrays."""
         if len(self.known) > self.limit:
-            self.known, self.last = {}, self.known
+            self.known, self.last = {b"": b""}, self.known
         # Letter case is lost in any case, but marked-up tokens and combining marks are looked at as they are.
-        words = [(t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
-        self._learn(set().union(*words).difference(self.known))
-        get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        marked = pc.match_substring_regex(texts, "<\\||[\u0300-\u037f]")
+        listed = pc.ascii_split_whitespace(pc.if_else(marked, texts, pc.ascii_lower(texts)))
+        of = listed.flatten().dictionary_encode()
+        at, words = of.indices.to_numpy(), of.dictionary.cast(pa.binary()).to_pylist()
+        self._learn({*words})
+        ids = [*map(self.known.__getitem__, words)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(ids), "<u4")
+        each = size[at]
+        end = np.concatenate([[0], np.cumsum(each)])
+        place = np.arange(end[-1]) + np.repeat(start[at] - end[:-1], each)
+        bounds = listed.offsets.to_numpy()
+        return flat[place], end[bounds - bounds[0]]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        ids, ends = self.column(pa.array([t.decode("utf-8", "replace") for t in texts], pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(ends, ends[1:])]
 
 
 _encoders: dict[str, CachedEncoder] = {}
@@ -159,13 +204,12 @@ def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                texts = part.column(1).fill_null("").cast(pa.binary()).to_pylist()
-                for doc_id, ids in zip(part.column(0).to_pylist(), known.encode(texts), strict=True):
-                    ids += closing
-                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        cut = ids[at : at + 4 * capacity]
+            for part, _, _ in chunks(iter([batch]), limit=SLICE):
+                ids, ends = known.column(part.column(1).fill_null("").cast(pa.string()))
+                for doc_id, a, b in zip(part.column(0).to_pylist(), ends.tolist(), ends[1:].tolist(), strict=False):
+                    whole = ids[a:b].tobytes() + closing
+                    for piece, at in enumerate(range(0, len(whole), 4 * capacity)):
+                        cut = whole[at : at + 4 * capacity]
                         length = len(cut) // 4
                         placed.append((doc_id, piece, at // 4, length, zlib.crc32(cut), *bins.place(length)))
                 if len(placed) >= ROWS:

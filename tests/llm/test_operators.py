@@ -149,7 +149,7 @@ def test_op3_encoder_equals_tokenizer():
     from tokenizers import Tokenizer
 
     rng, known = random.Random(3), packing.CachedEncoder(packing.tokenizer_file(), limit=500)
-    parts = [*"abJTWYHhwyİIiKÅßéñ0129.,'`-<|> \t\ṉ̇̌\xa0\x1cΣσςǅ½²日本かé", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'LL", ".."]
+    parts = [*"abJTWYHhwyİIiKÅßéñ0129.,'`-<|> \t\n\x1c\x85\xa0_#&%$*\x00̇̌Σσςǅ½²ªº日本かéɐ", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'LL", "..", "###", "tion", "&&&", "é."]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
     want = Tokenizer.from_file(packing.tokenizer_file()).encode_batch(texts, add_special_tokens=False)
     for k in range(0, 3000, 300):
