@@ -76,3 +76,45 @@ def keyboard(spark: SparkSession) -> DataFrame:
     near = lambda r, c: [k for dr, dc in ((0, -1), (0, 1), (-1, 0), (-1, 1), (1, -1), (1, 0)) for k, p in at.items() if p == (r + dr, c + dc)]
     rows = [(k, symbols.get(k), kind(symbols[k]) if k in symbols else None, near(*p)) for k, p in at.items()]
     return spark.createDataFrame(rows, "key string, symbol string, kind string, neighbours array<string>")
+
+
+def symbol_kind(symbol: Column | str) -> Column:
+    """initial, medial or final; null for what is none."""
+    c = F.col(symbol) if isinstance(symbol, str) else symbol
+    at = F.when(F.length(c) == 1, F.instr(F.lit(INITIALS + MEDIALS + FINALS), c)).otherwise(0)
+    return F.when(at == 0, F.lit(None).cast("string")).when(at <= len(INITIALS), "initial").when(at <= len(INITIALS + MEDIALS), "medial").otherwise("final")
+
+
+def tone_of(mark: Column | str) -> Column:
+    """1 to 5 of a tone mark, no mark being tone 1; null for what is none."""
+    c = F.col(mark) if isinstance(mark, str) else mark
+    return F.when(c == "", 1).when(F.length(c) == 1, F.nullif(F.instr(F.lit(MARKS), c), F.lit(0)))
+
+
+#: Keys of the composer beside the layout's: they take a symbol back, and all of them.
+BACKSPACE, CLEAR = "\b", "\x1b"
+
+
+def composed(keys: Column | str, inventory: list[str] | None = None) -> Column:
+    """(done, initial, medial, final, rejected): syllables composed key by key, what is still open, and how many keys
+    were refused. A symbol takes the place of one of its kind; backspace takes back final, medial and initial in turn;
+    a tone without symbols, or one that makes no syllable of the inventory, is refused and leaves the open ones."""
+    raw = F.lower(F.col(keys) if isinstance(keys, str) else keys)
+    none = F.struct(F.array().cast("array<string>").alias("done"), *(F.lit("").alias(k) for k in ("initial", "medial", "final")), F.lit(0).alias("rejected"))
+    symbols = INITIALS + MEDIALS + FINALS
+
+    def press(s: Column, key: Column) -> Column:
+        at = F.instr(F.lit(SYMBOL_KEYS), key)
+        symbol = F.substring(F.lit(symbols), at, F.lit(1))
+        kind = F.when(at == 0, "").when(at <= len(INITIALS), "initial").when(at <= len(INITIALS) + len(MEDIALS), "medial").otherwise("final")
+        tone = F.element_at(F.create_map(*(F.lit(x) for p in TONE_KEYS.items() for x in p)), key)
+        body = F.concat(s["initial"], s["medial"], s["final"])
+        known = F.lit(True) if inventory is None else F.array_contains(F.array(*map(F.lit, inventory)), F.concat(body, tone))
+        ends = tone.isNotNull() & (body != "") & known
+        back, clear = key == BACKSPACE, key == CLEAR
+        taken = F.when(s["final"] != "", "final").when(s["medial"] != "", "medial").when(s["initial"] != "", "initial").otherwise("")
+        slot = lambda k: F.when(ends | clear | (back & (taken == k)), "").when(kind == k, symbol).otherwise(s[k]).alias(k)
+        refused = ~(ends | back | clear | (kind != ""))
+        return F.struct(F.when(ends, F.concat(s["done"], F.array(F.concat(body, tone)))).otherwise(s["done"]).alias("done"), *(slot(k) for k in ("initial", "medial", "final")), (s["rejected"] + refused.cast("int")).alias("rejected"))
+
+    return F.aggregate(F.filter(F.split(raw, ""), lambda k: k != ""), none, press)

@@ -162,3 +162,16 @@ def odd_characters(text: Column | str) -> Column:
 def family_key(text: Column | str, rules: dict[str, str]) -> Column:
     """Variants (keys) as their canonical characters."""
     return F.translate(_c(text), "".join(rules), "".join(rules.values()))
+
+
+def odd_labels(text: Column | str) -> Column:
+    """What kind each odd character is, in order: its code point, or the block that it is from."""
+    within = lambda c, *blocks: F.rlike(c, F.lit(f"^[{''.join(blocks)}]$"))
+    point = lambda c: F.concat(F.lit("U+"), F.regexp_replace(F.hex(F.encode(c, "UTF-32")), "^0{1,4}", ""))
+    label = lambda c: F.when(F.rlike(c, F.lit(r"^[\p{Co}\p{Cs}\p{Cf}\p{Cc}]$")), point(c)).when(within(c, r"\x{3100}-\x{312F}", r"\x{31A0}-\x{31BF}"), "bopomofo").when(within(c, r"\x{F900}-\x{FAFF}", r"\x{2F00}-\x{2FDF}", r"\x{2E80}-\x{2EFF}"), "compatibility_or_radical").otherwise("halfwidth_kana_or_emoji")
+    return F.transform(odd_characters(text), label)
+
+
+def wide_script_key(text: Column | str) -> Column:
+    """Only Han characters of the composed text, in the class that corpora are compared by."""
+    return script_key(composed(text), "han_wide")

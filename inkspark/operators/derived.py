@@ -202,3 +202,19 @@ def with_gold(lexicon: DataFrame, gold: DataFrame, frequency: float = lexicons.M
     """A diagnostic upper bound: `lexicon` and the gold (word, reading) pairs that it lacks."""
     lacking = gold.select(F.col("word").alias("text"), "reading").distinct().join(lexicon.select("text", "reading"), ["text", "reading"], "left_anti")
     return lexicon.select("text", "reading", "frequency").unionByName(lacking.withColumn("frequency", F.lit(float(frequency))))
+
+
+def compared_ranks(ranks: DataFrame, baseline: DataFrame) -> DataFrame:
+    """contested, first, mean_rank, better and worse (than the baseline, of words that both contest) of `gold_ranks`."""
+    ours = ranks.filter("contested and rank is not null").select("word", "reading", "rank")
+    theirs = baseline.filter("contested and rank is not null").select("word", "reading", F.col("rank").alias("was"))
+    met = ours.join(theirs, ["word", "reading"], "left")
+    return met.agg(F.count(F.lit(1)).alias("contested"), F.count_if(F.col("rank") == 1).alias("first"), F.round(F.avg("rank"), 4).alias("mean_rank"), F.count_if(F.col("rank") < F.col("was")).alias("better"), F.count_if(F.col("rank") > F.col("was")).alias("worse"))
+
+
+def fixed_words(counts: DataFrame, known: DataFrame, least: int, least_pmi: float, script: str = "han") -> DataFrame:
+    """text, c of n-gram counts (n, gram, c) of two and three of the script's characters that stand `least` times, are no
+    known words and whose halves, in either cut, go together with `least_pmi`: the earlier, fixed-weight lexicon's."""
+    own = counts.filter(F.rlike("gram", F.lit(f"^[{tx.SCRIPTS[script]}]+$")))
+    found = ngrams.pmi(own.select("n", "gram", "c"), least).filter((F.col("n") <= 3) & (F.col("pmi") >= least_pmi))
+    return found.select(F.col("gram").alias("text"), "c").join(known.select("text"), "text", "left_anti")

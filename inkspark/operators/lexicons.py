@@ -34,6 +34,32 @@ def assembled(words: DataFrame, char_readings: DataFrame) -> DataFrame:
     return met.select("text", "reading", F.coalesce("tier_weight", "plane_weight").alias("frequency"))
 
 
+def assembly_errors(words: DataFrame, char_readings: DataFrame) -> DataFrame:
+    """line, text, error of rated words (text, tier, readings, line) that cannot enter the lexicon: a tier without a
+    weight, a character without readings, as many readings as there are not characters, a reading that a character has
+    not, several readings where none is given, and a word that stands twice (but for its first line)."""
+    chars = char_readings.groupBy("char").agg(F.collect_set("reading").alias("known"))
+    each = words.select("line", "text", "tier", "readings", F.posexplode(F.expr("filter(split(text, ''), c -> c <> '')")).alias("i", "char")).join(chars, "char", "left")
+    own = F.get("readings", F.col("i"))
+    per = each.groupBy("line", "text", "tier", "readings").agg(F.bool_or(F.col("known").isNull()).alias("unread"), F.bool_or(~F.array_contains("known", own)).alias("foreign"), F.bool_or(F.size("known") > 1).alias("open"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.element_at("known", 1).alias("r")))), lambda x: x["r"]), " ").alias("only"))
+    given = F.col("readings").isNotNull()
+    error = F.when(_weights(TIERS, F.col("tier")).isNull(), "tier").when(F.col("unread"), "no_reading").when(given & (F.size("readings") != F.length("text")), "length").when(given & F.col("foreign"), "reading").when(~given & F.col("open"), "ambiguous")
+    judged = per.withColumn("error", error).withColumn("reading", F.when(given, F.array_join("readings", " ")).otherwise(F.col("only")))
+    first = judged.filter("error is null").groupBy("text", "reading").agg(F.min("line").alias("first"))
+    met = judged.join(first, ["text", "reading"], "left")
+    return met.select("line", "text", F.coalesce("error", F.when(F.col("line") > F.col("first"), "repeated")).alias("error")).filter("error is not null")
+
+
+def repeated(entries: DataFrame) -> DataFrame:
+    """text, reading of entries that stand twice: an index refuses them."""
+    return entries.groupBy("text", "reading").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("text", "reading")
+
+
+def snapshot(entries: DataFrame) -> DataFrame:
+    """Entries in the order of their index: reading, falling frequency, text."""
+    return entries.orderBy("reading", F.desc("frequency"), "text")
+
+
 def indexed(entries: DataFrame) -> DataFrame:
     """`entries` with rank among those of its reading (frequency falling, then text) and log10 of its share of all."""
     w = Window.partitionBy("reading").orderBy(F.desc("frequency"), "text")

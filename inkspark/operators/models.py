@@ -83,3 +83,29 @@ def mixed(parts: list[tuple[DataFrame, float]], keys: tuple[str, ...]) -> DataFr
         one = df.select(*keys, "i", (F.col("p") * w).alias("p"))
         out = one if out is None else out.unionByName(one)
     return out.groupBy(*keys, "i").agg(F.sum("p").alias("p"))
+
+
+#: Weights of the everyday mixture of domains.
+GENERAL = {"government_faq": 0.3, "public_service": 0.3, "press_release": 0.3, "legal": 0.1}
+
+
+def interpolated(pos: DataFrame, tables: dict[str, DataFrame], weights: dict[str, float], keys: tuple[str, ...], vocabulary_size: int | None = None, order: int = 3) -> DataFrame:
+    """keys, i, p of the domains' models mixed by their weights; a weighted domain without a table is an error."""
+    lacking = [d for d, w in weights.items() if w > 0 and d not in tables]
+    if lacking:
+        raise ValueError(f"no counts for {lacking}")
+    return mixed([(witten_bell(pos, tables[d], vocabulary_size, order), w) for d, w in weights.items() if w > 0], keys)
+
+
+def corpus_counts(sentences: DataFrame, configuration: str, domain: str = "domain", text: str = "text", cap: int = 20_000) -> DataFrame:
+    """n-gram counts of a configuration: raw (all sentences), capped (the first `cap` of each domain by hash), or
+    domain (by domain)."""
+    from inkspark.operators import corpus
+
+    if configuration == "raw":
+        return ngrams.counted(sentences, text=text)
+    if configuration == "capped":
+        return ngrams.counted(corpus.capped(sentences.select(domain, text), domain, text, cap), text=text)
+    if configuration == "domain":
+        return ngrams.counted(sentences, text=text, by=(domain,))
+    raise ValueError(f"no configuration {configuration}")

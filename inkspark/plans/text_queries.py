@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkspark.functions import text as tx
-from inkspark.operators import corpus, guards, lexicons, models, ngrams
+from inkspark.operators import build, corpus, guards, lexicons, models, ngrams
 from inkspark.plans.registry import query, table
 from inkspark.sources.shared import written
 
@@ -374,3 +374,13 @@ def sentence_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
     standard = "".join(chr(c) for c in range(0x41, 0xE0))
     marked = guards.classified(s, "sentence", chars("é"), chars(standard), script="latin")
     return corpus.inspected(marked, "sentence", "latin").select("doc_id", "k", F.coalesce("drop", F.when(F.col("script_class").isin("simplified", "non_standard"), F.col("script_class"))).alias("drop"))
+
+
+@query()
+def corpus_build_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each sentence of all documents, by source: kept, or why it is dropped; benchmark items are guarded."""
+    docs = _docs(spark, sf_dir).select(F.col("source").alias("source_id"), "doc_id", "text")
+    refs = guards.references([("benchmark", table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), "text"))])
+    chars = lambda text: spark.createDataFrame([(c,) for c in text], "char string")
+    out = build.built(docs, (), refs, chars("ÿ"), chars("".join(map(chr, range(0x41, 0xFF)))), script="latin", ends=".!?;", comma=",", most=10_000)
+    return build.drop_counts(out)
