@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from inkspark.functions import text as tx
 from inkspark.operators import lexicons, ngrams
+from inkspark.sources.shared import written
 
 #: Numerals beside which a gram is part of a template; thresholds of candidates and filters.
 NUMERALS = "〇零一二三四五六七八九十百千萬兩0123456789０１２３４５６７８９"
@@ -73,14 +74,16 @@ def occurrences(sentences: DataFrame, wanted: DataFrame, everyday: str, whole: b
     """
     keys = ["slice", "source", "doc"]
     if whole:
-        at = lambda i: F.coalesce(F.get("chars", i), F.lit(""))
-        beside = lambda i, n: (F.length(at(i - 1)) > 0) & (F.instr(F.lit(numerals), at(i - 1)) > 0) | (F.length(at(i + n)) > 0) & (F.instr(F.lit(numerals), at(i + n)) > 0)
-        one = lambda n: F.when(F.size("chars") >= n, F.transform(F.sequence(F.lit(0), F.size("chars") - n), lambda i: F.struct(F.array_join(F.slice("chars", i + 1, F.lit(n)), "").alias("gram"), beside(i, n).alias("numeral")))).otherwise(F.array().cast("array<struct<gram:string,numeral:boolean>>"))
-        each = sentences.select(*keys, F.filter(F.split("text", ""), lambda c: c != "").alias("chars")).select(*keys, F.explode(F.flatten(F.array(*map(one, sizes)))).alias("x")).select(*keys, "x.*")
+        # Windows one character wider on either side; the text's edges are no numerals.
+        wide = F.concat(F.lit("\n"), "text", F.lit("\n"))
+        each = sentences.select(*keys, F.explode(F.flatten(F.array(*(tx.grams(wide, n + 2) for n in sizes)))).alias("w")).select(*keys, F.expr("substring(w, 2, length(w) - 2)").alias("gram"), F.left("w", F.lit(1)).alias("before"), F.right("w", F.lit(1)).alias("after"))
+        beside = (F.instr(F.lit(numerals), F.col("before")) > 0) | (F.instr(F.lit(numerals), F.col("after")) > 0)
     else:
         runs = sentences.select(*keys, F.explode(tx.runs("text", script)).alias("run"))
-        each = runs.select(*keys, F.explode(F.flatten(F.array(*(tx.grams("run", n) for n in sizes)))).alias("gram"), F.lit(False).alias("numeral"))
-    hit = each.join(wanted.select("gram"), "gram", "left_semi").groupBy("gram", *keys).agg(F.count(F.lit(1)).alias("c"), F.count_if("numeral").alias("m"))
+        each = runs.select(*keys, F.explode(F.flatten(F.array(*(tx.grams("run", n) for n in sizes)))).alias("gram"))
+        beside = F.lit(False)
+    # Both what follows by source and by slice starts from here.
+    hit = written(each.join(wanted.select("gram"), "gram", "left_semi").groupBy("gram", *keys).agg(F.count(F.lit(1)).alias("c"), F.count_if(beside).alias("m")), "occurrences")
     docs = hit.groupBy("gram", "source", "doc").agg(F.sum("c").alias("c"), F.sum("m").alias("m"), F.max(F.col("slice") == everyday).alias("everyday"))
     sources = docs.groupBy("gram", "source").agg(F.sum("c").alias("c"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("d"), F.count_if("everyday").alias("e"))
     totals = sources.groupBy("gram").agg(F.sum("c").alias("count"), F.sum("d").alias("documents"), F.sum("e").alias("everyday_documents"), F.sum("m").alias("numeral_adjacent"), F.sort_array(F.collect_list("source")).alias("sources"))
@@ -90,8 +93,8 @@ def occurrences(sentences: DataFrame, wanted: DataFrame, everyday: str, whole: b
 
 def statistics(sentences: DataFrame, counts: DataFrame, known: DataFrame, everyday: str, weights: dict[str, float], script: str = "han", longest: int = 4) -> DataFrame:
     """What filters and priors go by, a row for each candidate."""
-    table = pooled(counts, everyday, weights)
-    wanted = candidates(table, known)
+    table = written(pooled(counts, everyday, weights), "pooled")
+    wanted = written(candidates(table, known), "wanted")
     out = wanted.join(cut_pmi(table, wanted, F.col("pooled_p"), "pooled_pmi"), "gram").join(cut_pmi(table, wanted, F.col("everyday_p"), "everyday_pmi"), "gram")
     out = out.join(fragment_share(table, "pooled", "fragment", longest), "gram", "left").join(fragment_share(table, "everyday", "everyday_fragment", longest), "gram", "left")
     sizes = tuple(range(2, longest + 1))
@@ -151,8 +154,8 @@ def rejections(stats: DataFrame, readings: DataFrame, filter_: str, everyday: st
 def extracted(sentences: DataFrame, counts: DataFrame, known: DataFrame, readings: Callable[[DataFrame], DataFrame], everyday: str, weights: dict[str, float], estimator: Column, per_million: float = PER_MILLION, least_documents: int = 2, least_pmi: float = 0.0, script: str = "han", longest: int = 4) -> DataFrame:
     """text, count, documents, pmi, per_million, weight, eligibility of every gram that `estimator` finds frequent:
     eligible, or the first reason against it. readings: texts (text) to (text, readings)."""
-    table = pooled(counts, everyday, weights)
-    frequent = table.filter(F.col("n") > 1).withColumn("p", estimator).filter(F.col("p") >= per_million / 1e6)
+    table = written(pooled(counts, everyday, weights), "pooled")
+    frequent = written(table.filter(F.col("n") > 1).withColumn("p", estimator).filter(F.col("p") >= per_million / 1e6), "frequent")
     found = occurrences(sentences.filter(F.col("slice").isin(everyday, *weights)), frequent, everyday, False, script, tuple(range(2, longest + 1)))
     met = frequent.join(cut_pmi(table, frequent, estimator, "pmi"), "gram").join(fragment_share(table, "pooled", "fragment", longest), "gram", "left").join(found, "gram", "left")
     met = met.join(known.select(F.col("text").alias("gram"), F.lit(True).alias("known")).distinct(), "gram", "left").join(readings(frequent.select(F.col("gram").alias("text"))).select(F.col("text").alias("gram"), "readings"), "gram", "left")

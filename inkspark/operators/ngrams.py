@@ -30,11 +30,15 @@ def continuation(counts: DataFrame) -> DataFrame:
     return counts.filter("n > 1").groupBy((F.col("n") - 1).alias("n"), F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("left_types"))
 
 
-def run_grams(rows: DataFrame, sizes: tuple[int, ...] = (1, 2, 3, 4), text: str = "text", script: str = "han", by: tuple[str, ...] = ()) -> DataFrame:
-    """by, n, gram, c within maximal runs of the script."""
+def run_grams(rows: DataFrame, sizes: tuple[int, ...] = (1, 2, 3, 4), text: str = "text", script: str = "han", by: tuple[str, ...] = (), repeat: bool = False) -> DataFrame:
+    """by, n, gram, c within maximal runs of the script.
+
+    repeat: runs are words that come again and again, so they are counted first, and each is cut up once; where runs are
+    clauses, that would only shuffle the corpus."""
     run = rows.select(*by, F.explode(tx.runs(text, script)).alias("run"))
-    each = F.flatten(F.array(*(F.transform(tx.grams("run", n), lambda g: g) for n in sizes)))
-    return run.select(*by, F.explode(each).alias("gram")).groupBy(*by, F.length("gram").alias("n"), "gram").agg(F.count(F.lit(1)).alias("c"))
+    run = run.groupBy(*by, "run").agg(F.count(F.lit(1)).alias("m")) if repeat else run.withColumn("m", F.lit(1))
+    each = F.flatten(F.array(*(tx.grams("run", n) for n in sizes)))
+    return run.select(*by, "m", F.explode(each).alias("gram")).groupBy(*by, F.length("gram").alias("n"), "gram").agg(F.sum("m").cast("long").alias("c"))
 
 
 def pmi(grams: DataFrame, least: int = 5) -> DataFrame:

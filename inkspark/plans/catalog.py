@@ -14,7 +14,7 @@ __all__ = ["case_queries", "decoding_queries", "derived_queries", "evaluation_qu
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letter pairs of documents by pointwise mutual information."""
-    grams = ngrams.run_grams(table(spark, sf_dir, "documents"), (1, 2), script="latin")
+    grams = ngrams.run_grams(table(spark, sf_dir, "documents"), (1, 2), script="latin", repeat=True)
     return ngrams.pmi(grams).withColumn("pmi", F.round("pmi", 6)).orderBy(F.desc("pmi"), "gram")
 
 

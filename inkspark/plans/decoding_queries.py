@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from inkspark.operators import corpus, decoding, guards, lattice, lexicons, models, ngrams, scores
 from inkspark.plans.derived_queries import HAN, known_words, sql_han, han
 from inkspark.plans.registry import query, table
-from inkspark.sources.shared import written
+from inkspark.sources.shared import spread, written
 
 #: Keys of the letters in order, as on telephones.
 KEYS = "22233344455566677778889999"
@@ -30,7 +30,7 @@ def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select(han("text").alias("text"))
+    return spread(table(spark, sf_dir, "conversations")).select(han("text").alias("text"))
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:

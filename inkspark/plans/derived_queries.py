@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from inkspark.operators import annotation, derived, metrics
 from inkspark.plans.registry import query, table
-from inkspark.sources.shared import written
+from inkspark.sources.shared import spread, written
 
 LETTERS, HAN = "abcdefghijklmnopqrstuvwxyz", "".join(chr(0x4E00 + i) for i in range(26))
 VOWELS = "".join(HAN[LETTERS.index(c)] for c in "aeiou")
@@ -28,7 +28,7 @@ def sql_han(text: str) -> str:
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select(F.col("role").alias("slice"), F.concat(F.lit("s"), F.col("conv_id") % 4).alias("source"), F.col("conv_id").alias("doc"), han("text").alias("text"))
+    return spread(table(spark, sf_dir, "conversations")).select(F.col("role").alias("slice"), F.concat(F.lit("s"), F.col("conv_id") % 4).alias("source"), F.col("conv_id").alias("doc"), han("text").alias("text"))
 
 
 def known_words(spark: SparkSession, sf_dir: str) -> DataFrame:

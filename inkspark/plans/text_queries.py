@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from inkspark.functions import text as tx
 from inkspark.operators import build, corpus, guards, lexicons, models, ngrams
 from inkspark.plans.registry import query, table
-from inkspark.sources.shared import written
+from inkspark.sources.shared import spread, written
 
 LATIN = "A-Za-zÀ-ÿ"
 SPACE = r"\t\n\x0B\f\r \x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -36,7 +36,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngrams.counted(_docs(spark, sf_dir))
+    return ngrams.counted(spread(_docs(spark, sf_dir)))
 
 
 def _written_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def _written_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _run_grams(spark: SparkSession, sf_dir: str, sizes: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
-    return ngrams.run_grams(_docs(spark, sf_dir), sizes, script="latin")
+    return ngrams.run_grams(spread(_docs(spark, sf_dir)), sizes, script="latin", repeat=True)
 
 
 @query(f"SELECT token, count(*) AS c FROM (SELECT unnest({_TOKENS}) AS token FROM documents) GROUP BY token")
@@ -160,7 +160,7 @@ def mixture_logprob(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Sentences of the driver's text: Latin script, cut after full stops and marks.
 def _sentences(docs: DataFrame) -> DataFrame:
     pieces = tx.sentences("text", "latin", ends=".!?;", comma=",", most=10_000)
-    return docs.select("doc_id", "lang", "source", F.posexplode(pieces).alias("k", "sentence"))
+    return spread(docs).select("doc_id", "lang", "source", F.posexplode(pieces).alias("k", "sentence"))
 
 
 _SENTENCES = rf"""cut AS (SELECT doc_id, lang, source, unnest(string_split(regexp_replace(text, '([.!?;])', '\1' || chr(10), 'g'), chr(10))) AS raw, generate_subscripts(string_split(regexp_replace(text, '([.!?;])', '\1' || chr(10), 'g'), chr(10)), 1) AS spot FROM documents),
@@ -329,7 +329,7 @@ def prior_rank_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_RUNS}, per AS (SELECT lang, gram, count(*) AS c FROM each GROUP BY ALL),
 sizes AS (SELECT lang, count(*) FILTER (len(gram) = 1) AS chars, count(*) FILTER (len(gram) = 2) AS bigrams, count(*) FILTER (len(gram) = 3) AS trigrams FROM per GROUP BY 1) SELECT * FROM sizes""")
 def corpus_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = ngrams.run_grams(_docs(spark, sf_dir), (1, 2, 3), script="latin", by=("lang",))
+    per = ngrams.run_grams(_docs(spark, sf_dir), (1, 2, 3), script="latin", by=("lang",), repeat=True)
     return per.groupBy("lang").agg(*(F.count_if(F.col("n") == n).alias(name) for n, name in ((1, "chars"), (2, "bigrams"), (3, "trigrams"))))
 
 
@@ -338,7 +338,7 @@ hit AS (SELECT a.lang AS a, b.lang AS b, count(*) AS shared FROM per a JOIN per
 SELECT a, b, shared, round(shared / (x.n + y.n - shared), 6) AS jaccard FROM hit JOIN sizes x ON x.lang = a JOIN sizes y ON y.lang = b""")
 def set_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shared trigrams of each two languages, from the few languages of each trigram."""
-    per = ngrams.run_grams(_docs(spark, sf_dir), (3,), script="latin", by=("lang",)).select("lang", "gram")
+    per = ngrams.run_grams(_docs(spark, sf_dir), (3,), script="latin", by=("lang",), repeat=True).select("lang", "gram")
     sizes = per.groupBy("lang").agg(F.count(F.lit(1)).alias("m"))
     langs = per.groupBy("gram").agg(F.sort_array(F.collect_set("lang")).alias("l"))
     pairs = langs.select(F.explode(F.expr("flatten(transform(l, (x, i) -> transform(slice(l, i + 2, size(l)), y -> struct(x as a, y as b))))")).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("shared"))

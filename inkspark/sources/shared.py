@@ -52,3 +52,10 @@ def sweep(spark: SparkSession) -> int:
     for path in paths:
         _remove(spark, path)
     return len(paths)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, dealt anew where it has fewer splits than there are cores: small inputs of work that widens them. Inputs of
+    a cluster's size have their splits already and are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
