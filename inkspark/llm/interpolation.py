@@ -7,8 +7,9 @@ documents under the counts of the rest; then all training documents' counts are
 
 Counts never gather in one place. Documents are taken in chunks of a few MB; a chunk asks each key bucket about its
 distinct words and pairs (sorted 64-bit hashes with its own counts), the bucket sums the chunks' counts and answers
-each chunk in its own order, and the chunk scores its documents. A frequent word is one entry a chunk, so no bucket
-is hot, and all that is moved grows in proportion to the input. The driver gets three totals and, for the weights,
+each chunk in its own order, and the chunk scores its documents. A frequent word is one entry a chunk, however often it
+stands there, and all that is moved grows in proportion to the input; a bucket's group holds one row for each chunk that
+asks it. The driver gets three totals and, for the weights,
 a histogram over a fixed grid (context bucket and two log ratios in quarter octaves).
 
 Defined cases: a null or empty text is the end alone; a null doc_id is training data; repeated rows count and are
@@ -33,7 +34,7 @@ from inkspark.llm.words import Words, chunks, mix, trimmed
 
 PARTS, HELD_OUT, DELETED = 7, 2, 3  # crc32(doc_id as text) mod PARTS: what is held out, and deleted to learn weights
 TRAIN, DELETED_ROLE, HELD_ROLE = 0, 1, 2
-CHUNK, SLICE = 4 << 20, 1 << 20  # bytes of text that share one set of requests; that are hashed at a time
+CHUNK, SLICE = 3 << 20, 1 << 20  # bytes of text that share one set of requests; that are hashed at a time
 BUCKET_TOKENS = 4 << 20  # tokens a key bucket stands for
 TASK_TOKENS = 4 << 20  # tokens whose requests and answers a task takes
 END, START = np.uint64(1), np.uint64(2)  # in place of word hashes
