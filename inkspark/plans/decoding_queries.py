@@ -126,35 +126,36 @@ def candidate_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Near-duplicates and guards
 
-_SHINGLES = "CASE WHEN len(k) < 2 THEN [k] ELSE list_distinct(list_transform(range(1, len(k)), lambda i: k[i : i + 1])) END"
-_TURNS = f"""turns AS (SELECT conv_id * 1000 + turn AS key, conv_id, left({sql_han('text')}, 40) AS text FROM conversations),
-keyed AS (SELECT key, conv_id, text, regexp_replace(text, '[^一-鿿]', '', 'g') AS k FROM turns), sets AS (SELECT key, conv_id, k, {_SHINGLES} AS s FROM keyed WHERE k <> '')"""
+_TURNS = f"""turns AS (SELECT conv_id * 1000 + turn AS key, conv_id, role, {sql_han('text')} AS text FROM conversations),
+keyed AS (SELECT *, regexp_replace(text, '[^一-鿿]', '', 'g') AS k FROM turns),
+sets AS (SELECT key, conv_id, role, k, CASE WHEN len(k) < 4 THEN [k] ELSE list_distinct(list_transform(range(1, len(k) - 2), lambda i: k[i : i + 3])) END AS s FROM keyed WHERE k <> ''),
+x AS (SELECT k, len(s) AS n, unnest(s) AS g FROM (SELECT k, any_value(s) AS s FROM sets GROUP BY k)),
+sim AS (SELECT a.k AS ak, b.k AS bk, count(*) / (a.n + b.n - count(*)) AS j FROM x a JOIN x b USING (g) WHERE a.k <> b.k GROUP BY a.k, b.k, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 0.25)"""
 
 
-def _openings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """key, conv_id, text: the openings of turns, whose shingles are few enough for others to share many."""
-    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), "conv_id", F.left(han("text"), F.lit(40)).alias("text"))
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """key, conv_id, role, text of every turn."""
+    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), "conv_id", "role", han("text").alias("text"))
 
 
-@query(f"""WITH {_TURNS}, distinct_sets AS (SELECT min(key) AS key, any_value(s) AS s FROM sets GROUP BY k), x AS (SELECT key, len(s) AS n, unnest(s) AS g FROM distinct_sets),
-hit AS (SELECT a.key AS a_key, b.key AS b_key, a.n AS an, b.n AS bn, count(*) AS m FROM x a JOIN x b USING (g) WHERE a.key < b.key GROUP BY ALL)
-SELECT a_key, b_key, round(m / (an + bn - m), 6) AS similarity FROM hit WHERE m / (an + bn - m) >= 0.35""")
-def opening_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of different openings with a similarity of 0.35 by their letter pairs."""
-    rows = _openings(spark, sf_dir).groupBy(F.regexp_replace("text", "[^一-鿿]", "").alias("k")).agg(F.min("key").alias("key"))
-    out = corpus.similar_within(corpus.shingle_table(rows, "key", "k", 2, "han"), 0.35)
+@query(f"""WITH {_TURNS}, least AS (SELECT k, min(key) AS key FROM sets GROUP BY k)
+SELECT a.key AS a_key, b.key AS b_key, round(j, 6) AS similarity FROM sim JOIN least a ON a.k = ak JOIN least b ON b.k = bk WHERE a.key < b.key""")
+def turn_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different turns with a similarity of 0.25 of their letter 4-grams; equal turns are one, by their least key."""
+    rows = _turns(spark, sf_dir).groupBy(F.regexp_replace("text", "[^一-鿿]", "").alias("k")).agg(F.min("key").alias("key"))
+    out = corpus.similar_within(written(corpus.shingle_table(rows, "key", "k", 4, "han"), "shingles"), 0.25)
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
 _SIDE = "CASE conv_id % 3 WHEN 0 THEN 'test' WHEN 1 THEN 'dev' ELSE 'train' END"
 
 
-@query(f"""WITH {_TURNS}, t AS (SELECT DISTINCT k, s FROM sets WHERE {_SIDE} = 'train'), o AS (SELECT DISTINCT k, s FROM sets WHERE {_SIDE} <> 'train'),
-near AS (SELECT DISTINCT o.k FROM o, t WHERE len(list_intersect(o.s, t.s)) / (len(o.s) + len(t.s) - len(list_intersect(o.s, t.s))) >= 0.35)
+@query(f"""WITH {_TURNS}, train AS (SELECT DISTINCT k FROM sets WHERE {_SIDE} = 'train'), near AS (SELECT ak AS k FROM sim WHERE bk IN (SELECT k FROM train) UNION SELECT k FROM train)
 SELECT key FROM keyed WHERE {_SIDE} = 'train' OR k NOT IN (SELECT k FROM near)""")
 def cross_split_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns dealt to splits by conversation, without those of dev and test that are near one of train."""
     side = F.when(F.col("conv_id") % 3 == 0, "test").when(F.col("conv_id") % 3 == 1, "dev").otherwise("train")
-    return guards.without_leaks(_openings(spark, sf_dir).withColumn("split", side), "key", "text", "split", 0.35, 2).select("key")
+    return guards.without_leaks(_turns(spark, sf_dir).withColumn("split", side), "key", "text", "split", 0.25).select("key")
 
 
 @query(f"""WITH {_TURNS}, refs AS (SELECT item_id, regexp_replace({sql_han('text')}, '[^一-鿿]', '', 'g') AS k FROM benchmark),
@@ -162,19 +163,20 @@ r8 AS (SELECT g, arg_min(item_id, (item_id::VARCHAR, i)) AS item_id FROM (SELECT
 t8 AS (SELECT key, unnest(range(1, len(k) - 6)) AS i, k[i : i + 7] AS g FROM keyed)
 SELECT key, 'shared' AS kind, arg_min(item_id, i)::VARCHAR AS reference_key FROM t8 JOIN r8 USING (g) GROUP BY 1""")
 def evaluation_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Openings that share eight letters in a row with a benchmark item; none is as a whole near one."""
+    """Turns that share eight letters in a row with a benchmark item; none is as a whole near one."""
     refs = guards.references([("benchmark", table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), han("text").alias("text")))])
-    return guards.guarded(_openings(spark, sf_dir), refs, 0.7).select("key", "kind", "reference_key")
+    return guards.guarded(_turns(spark, sf_dir), refs, 0.7).select("key", "kind", "reference_key")
 
 
-@query(f"""WITH {_TURNS}, x AS (SELECT key, conv_id, s FROM sets), hit AS (SELECT a.key, b.key AS other, len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) AS similarity, a.conv_id AS ac, b.conv_id AS bc FROM x a, x b WHERE a.key <> b.key)
-SELECT key, 'internal' AS kind, other::VARCHAR AS other, round(similarity, 6) AS similarity FROM hit WHERE ac % 2 = 0 AND bc % 2 = 0 AND other < key AND similarity >= 0.35
-UNION ALL SELECT key, 'external', other::VARCHAR, round(similarity, 6) FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY similarity DESC, other::VARCHAR) AS r FROM hit WHERE ac % 2 = 0 AND bc % 2 = 1 AND similarity >= 0.35) WHERE r <= 3""")
+@query(f"""WITH {_TURNS}, hit AS (SELECT a.key, a.role AS ar, b.key AS other, b.role AS br, j AS similarity FROM sim JOIN sets a ON a.k = ak JOIN sets b ON b.k = bk
+  UNION ALL SELECT a.key, a.role, b.key, b.role, 1 FROM sets a JOIN sets b ON a.k = b.k AND a.key <> b.key)
+SELECT key, 'internal' AS kind, other::VARCHAR AS other, round(similarity, 6)::DOUBLE AS similarity FROM hit WHERE ar = 'assistant' AND br = 'assistant' AND other < key
+UNION ALL SELECT key, 'external', other::VARCHAR, round(similarity, 6)::DOUBLE FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY similarity DESC, other::VARCHAR) AS r FROM hit WHERE ar = 'assistant' AND br <> 'assistant') WHERE r <= 3""")
 def leakage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Even conversations' openings as items against odd ones', the three nearest, and against earlier items."""
-    rows = _openings(spark, sf_dir)
-    items = rows.filter("conv_id % 2 = 0").withColumn("position", F.col("key"))
-    out = guards.leaks(items, rows.filter("conv_id % 2 = 1"), 0.35, 2)
+    """Assistants' turns as items against all others, the three nearest, and against earlier items."""
+    rows = _turns(spark, sf_dir)
+    items = rows.filter("role = 'assistant'").withColumn("position", F.col("key"))
+    out = guards.leaks(items, rows.filter("role <> 'assistant'"), 0.25)
     return out.withColumn("similarity", F.round("similarity", 6))
 
 

@@ -89,13 +89,13 @@ def noisy_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PLANE = "(event_id % 3) + 1"
 
 
-@query(f"""WITH c AS (SELECT DISTINCT n_name[1 : 1] AS ch, r, {_PLANE} AS plane FROM (SELECT event_id, user_id, {_sql_canonical('raw')} AS r FROM (SELECT event_id, user_id, {_BODY} AS raw FROM events)) JOIN nation ON n_nationkey = event_id % 25 WHERE r IS NOT NULL AND event_id % 50 < 25),
+@query(f"""WITH c AS (SELECT DISTINCT n_name[1 : 1] AS ch, r, {_PLANE} AS plane FROM (SELECT event_id, user_id, {_sql_canonical('raw')} AS r FROM (SELECT event_id, user_id, {_BODY} AS raw FROM events)) JOIN nation ON n_nationkey = event_id % 25 WHERE r IS NOT NULL),
 single AS (SELECT ch, r, max(CASE plane WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.1 END) AS w FROM c GROUP BY 1, 2 HAVING w IS NOT NULL),
 rated AS (SELECT DISTINCT ch, r, CASE (ascii(ch) % 5) + 1 WHEN 5 THEN 1000.0::DOUBLE WHEN 4 THEN 200 WHEN 3 THEN 50 WHEN 2 THEN 10 ELSE 3 END AS t FROM c WHERE ch < 'F')
 SELECT coalesce(s.ch, rated.ch) AS text, coalesce(s.r, rated.r) AS reading, coalesce(t, w) AS frequency FROM single s FULL JOIN rated ON s.ch = rated.ch AND s.r = rated.r""")
 def lexicon_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations' first letters with events' syllables, by plane; letters before F are rated too."""
-    read = table(spark, sf_dir, "events").filter("event_id % 50 < 25").select("event_id", ph.canonical(F.expr(_BODY)).alias("reading"), F.concat_ws("-", F.expr(_PLANE), F.lit("1")).alias("cns_code")).filter("reading is not null")
+    read = table(spark, sf_dir, "events").select("event_id", ph.canonical(F.expr(_BODY)).alias("reading"), F.concat_ws("-", F.expr(_PLANE), F.lit("1")).alias("cns_code")).filter("reading is not null")
     chars = read.join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("event_id") % 25).select(F.left("n_name", F.lit(1)).alias("char"), "reading", "cns_code").distinct()
     rated = chars.filter("char < 'F'").select(F.col("char").alias("text"), (F.ascii("char") % 5 + 1).alias("tier"), F.array("reading").alias("readings")).distinct()
     return lexicons.assembled(rated, chars)

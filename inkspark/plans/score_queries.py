@@ -36,14 +36,14 @@ _FIRST = {"case_id": "event_id", "target_correct": "value > 50", "top_text": "ev
 _SECOND = {"case_id": "event_id", "target_correct": "event_id % 7 < 4", "target_text": "CASE WHEN event_id % 5 = 0 THEN 'click' ELSE event_type END", "ambiguous_at_t0": "event_id % 3 = 0", "answer_rank": "event_id % 4"}
 
 
-@query(f"""WITH a AS (SELECT {', '.join(f'{e} AS {c}' for c, e in _FIRST.items())} FROM events WHERE value IS NOT NULL), b AS (SELECT {', '.join(f'{e} AS {c}' for c, e in _SECOND.items())} FROM events WHERE event_id % 2 = 0),
+@query(f"""WITH a AS (SELECT {', '.join(f'{e} AS {c}' for c, e in _FIRST.items())} FROM events WHERE value IS NOT NULL), b AS (SELECT {', '.join(f'{e} AS {c}' for c, e in _SECOND.items())} FROM events),
 m AS (SELECT a.target_correct AS x, b.target_correct AS y, top_text <> target_text AS changed, a.ambiguous_at_t0 AS u, answer_rank FROM a JOIN b USING (case_id))
 SELECT count(*) AS paired, {_ONE('x')} AS initial_top1, {_ONE('y')} AS final_top1, {_ONE('answer_rank = 0')} AS final_sequence_top1, count(*) FILTER (NOT x AND y) AS wrong_to_correct, count(*) FILTER (x AND NOT y) AS correct_to_wrong, count(*) FILTER (x AND y) AS unchanged_correct, count(*) FILTER (NOT x AND NOT y) AS unchanged_wrong,
 count(*) FILTER (changed) AS changed, round(count(*) FILTER (NOT x AND y) / count(*) FILTER (changed), 6) AS correction_precision, count(*) FILTER (NOT x AND y AND u) AS wrong_to_correct_ambiguous, count(*) FILTER (NOT x AND u) AS initial_wrong_ambiguous FROM m""")
 def temporal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events")
     first = rows.filter("value is not null").select(*(F.expr(e).alias(c) for c, e in _FIRST.items()))
-    second = rows.filter("event_id % 2 = 0").select(*(F.expr(e).alias(c) for c, e in _SECOND.items()))
+    second = rows.select(*(F.expr(e).alias(c) for c, e in _SECOND.items()))
     return _rounded(scores.temporal_summary(first, second))
 
 
@@ -230,23 +230,23 @@ def silver_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.refusals(rows, _annotated(spark, sf_dir, rows), "domain")
 
 
-@query(f"""WITH {_CLAUSES}, each AS (SELECT DISTINCT source_id, doc_id, domain, clause, key, readings FROM clauses JOIN ann USING (clause) WHERE doc_id % 5 > 0), d AS (SELECT *, row_number() OVER (PARTITION BY domain, source_id, doc_id ORDER BY key) AS d FROM each),
+@query(f"""WITH {_CLAUSES}, each AS (SELECT DISTINCT source_id, doc_id, domain, clause, key, readings FROM clauses JOIN ann USING (clause) WHERE domain <> 'system' AND clause NOT IN (SELECT clause FROM clauses WHERE domain = 'system')), d AS (SELECT *, row_number() OVER (PARTITION BY domain, source_id, doc_id ORDER BY key) AS d FROM each),
 r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY key) AS r FROM d WHERE d <= 2) SELECT 'gov:' || source_id || ':' || left(key, 12) AS item_id, domain AS category, clause AS text, readings, source_id, doc_id FROM r WHERE r <= 30""")
 def formal_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two clauses a document and thirty a role by hash; every fifth conversation counts as near a training text."""
+    """The feature is the sample: two clauses a document and thirty a role by hash; system turns count as training texts."""
     rows = _sentences(spark, sf_dir)
-    near = rows.filter("doc_id % 5 = 0").select("text")
+    near = sets.clauses(rows.filter("domain = 'system'"), 4, 10).select(F.col("clause").alias("text"))
     # A clause once a document, with what stands before it left out of the order.
     once = sets.clauses(rows, 4, 10).groupBy("source_id", "doc_id", "domain", "clause").agg(F.min("text").alias("whole")).select("source_id", "doc_id", "domain", F.col("clause").alias("text"))
-    out = sets.formal_set(once.filter("doc_id % 5 > 0"), _annotated(spark, sf_dir, rows), near, "domain", 30, 2, 4, 10)
+    out = sets.formal_set(once.filter("domain <> 'system'"), _annotated(spark, sf_dir, rows), near, "domain", 30, 2, 4, 10)
     return out.select("item_id", "category", "text", F.array_join("readings", " ").alias("readings"), "source_id", "doc_id")
 
 
-@query(f"""WITH {_CLAUSES}, i AS (SELECT DISTINCT clause, list_transform(string_split(clause, ''), lambda c: CASE WHEN contains('{VOWELS}', c) THEN 'q' ELSE 'x' END || c) AS readings FROM clauses WHERE len(clause) <= 5)
+@query(f"""WITH {_CLAUSES}, i AS (SELECT DISTINCT clause, list_transform(string_split(clause, ''), lambda c: CASE WHEN contains('{VOWELS}', c) THEN 'q' ELSE 'x' END || c) AS readings FROM clauses)
 SELECT clause AS item_id, 'reading' AS issue, (k - 1)::INT AS position FROM (SELECT clause, readings, unnest(range(1, len(clause) + 1)) AS k FROM i) WHERE readings[k][1:1] = 'x'""")
 def reading_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short clauses whose consonants have readings that no character has."""
+    """Clauses whose consonants have readings that no character has."""
     rows = _sentences(spark, sf_dir)
-    items = sets.clauses(rows, 4, 5).select(F.col("clause").alias("text")).distinct()
+    items = sets.clauses(rows, 4, 10).select(F.col("clause").alias("text")).distinct()
     read = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.concat(F.when(F.instr(F.lit(VOWELS), c) > 0, "q").otherwise("x"), c))
     return annotation.reading_issues(items.select(F.col("text").alias("item_id"), "text", read.alias("readings"), F.array("text").alias("acceptable")), char_readings(rows))
