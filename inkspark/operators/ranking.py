@@ -33,13 +33,14 @@ def confidence(rows: DataFrame, case: str, p: str, most: float = 0.6, margin: Se
     """case, margin, entropy (of ln, over ln of the number), gate, weight, confident; a case of one has no gate.
 
     disagreement, instability: columns that are one value a case (null: not measured) and close the gate towards
-    `high`. The two largest chances come from a combined maximum, not from a list of the case."""
+    `high`. The two largest chances come from one pass over a case's distinct ones: chances that are computed twice may
+    differ in their last digit, and the largest would then stand below itself."""
     ramp = lambda x, a: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x - a[0]) / (a[1] - a[0])))
     signals = [F.max(c).alias(f"__{i}") for i, c in enumerate((disagreement, instability)) if c]
-    per = rows.groupBy(case, p).agg(F.count(F.lit(1)).alias("__m"), *signals)
-    top = per.groupBy(case).agg(F.sum(F.when(F.col(p).isNotNull(), F.col("__m"))).alias("n"), F.sum(F.when(F.col(p) > 0, -F.col(p) * F.ln(p) * F.col("__m")).otherwise(0.0)).alias("h"), F.max(p).alias("first"), F.max_by("__m", p).alias("firsts"), *(F.max(f"__{i}").alias(f"__{i}") for i, c in enumerate((disagreement, instability)) if c))
-    below = per.join(top.select(case, "first"), case).filter(F.col(p) < F.col("first")).groupBy(case).agg(F.max(p).alias("second"))
-    out = top.join(below, case, "left").withColumn("second", F.when(F.col("firsts") > 1, F.col("first")).otherwise(F.col("second")))
+    per = rows.groupBy(case, p).agg(F.count(F.lit(1)).alias("__m"), *signals).withColumn("__at", F.row_number().over(Window.partitionBy(case).orderBy(F.desc_nulls_last(p))))
+    place = lambda i, c: F.max(F.when(F.col("__at") == i, F.col(c)))
+    out = per.groupBy(case).agg(F.sum(F.when(F.col(p).isNotNull(), F.col("__m"))).alias("n"), F.sum(F.when(F.col(p) > 0, -F.col(p) * F.ln(p) * F.col("__m")).otherwise(0.0)).alias("h"), place(1, p).alias("first"), place(1, "__m").alias("firsts"), place(2, p).alias("second"), *(F.max(f"__{i}").alias(f"__{i}") for i, c in enumerate((disagreement, instability)) if c))
+    out = out.withColumn("second", F.when(F.col("firsts") > 1, F.col("first")).otherwise(F.col("second")))
     out = out.withColumns({"margin": F.when(F.col("n") > 1, F.col("first") - F.col("second")).otherwise(0.0), "entropy": F.when(F.col("n") > 1, F.col("h") / F.ln("n")).otherwise(0.0)})
     gate = ramp(F.col("margin"), margin) * (1 - ramp(F.col("entropy"), entropy))
     for i, c in enumerate((disagreement, instability)):
