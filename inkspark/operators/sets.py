@@ -15,12 +15,12 @@ def clauses(sentences: DataFrame, shortest: int, longest: int, script: str = "ha
     before them and key, the SHA-256 that orders them."""
     run = F.regexp_extract_all("text", F.lit(f"[{tx.SCRIPTS[script]}]+"), F.lit(0))
     gaps = F.split("text", f"[{tx.SCRIPTS[script]}]+", -1)
-    start = F.struct(F.lit("").alias("before"), F.array().cast("array<struct<left_context:string,clause:string>>").alias("out"))
-    step = lambda s, x: F.struct(F.concat(s["before"], x["gap"], x["run"]).alias("before"), F.concat(s["out"], F.array(F.struct(F.concat(s["before"], x["gap"]).alias("left_context"), x["run"].alias("clause")))).alias("out"))
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(run)), run, lambda g, r: F.struct(g.alias("gap"), r.alias("run")))
-    each = sentences.select("*", F.explode(F.aggregate(pairs, start, step, lambda s: s["out"])).alias("x")).select(*sentences.columns, "x.*")
+    # What stands before a run is cut from the text by its length: where it is not asked for, the text is not carried.
+    size = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
+    left = F.left("text", size(gaps, F.col("__i") + 1) + size(run, F.col("__i")))
+    each = sentences.select("*", F.posexplode(run).alias("__i", "clause"))
     key = F.sha2(F.concat("source_id", F.lit("\0"), F.col("doc_id").cast("string"), F.lit("\0"), "clause"), 256)
-    return each.filter(F.length("clause").between(shortest, longest)).withColumn("key", key)
+    return each.filter(F.length("clause").between(shortest, longest)).select(*sentences.columns, left.alias("left_context"), "clause", key.alias("key"))
 
 
 def silver(sentences: DataFrame, annotations: DataFrame, by: str, most: int, shortest: int = 4, longest: int = 10, script: str = "han_bmp") -> DataFrame:

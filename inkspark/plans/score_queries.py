@@ -211,17 +211,18 @@ def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.concat(F.lit("s"), F.col("conv_id") % 4).alias("source_id"), F.col("conv_id").alias("doc_id"), F.col("role").alias("domain"), han("text").alias("text"))
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """A clause once a document and role, with what stands before it left out of the order."""
+    return sets.clauses(rows, 4, 10).select("source_id", "doc_id", "domain", F.col("clause").alias("text")).distinct()
+
+
 @query(f"WITH {_CLAUSES} SELECT DISTINCT source_id || ':' || left(key, 12) AS item_id, 'silver:' || domain AS origin, readings, clause AS gold FROM (SELECT *, dense_rank() OVER (PARTITION BY domain ORDER BY key) AS r FROM clauses JOIN ann USING (clause)) WHERE r <= 20")
 def silver_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature is the sample: the twenty first annotated clauses of each role by hash (a clause that stands twice in a
     document is one here)."""
     rows = _sentences(spark, sf_dir)
-    out = sets.silver(rows.groupBy("source_id", "doc_id", "domain", "text").agg(F.count(F.lit(1)).alias("m")).drop("m"), _annotated(spark, sf_dir, rows), "domain", 100_000)
-    from pyspark.sql.window import Window
-
-    once = out.select("item_id", "origin", F.array_join("readings", " ").alias("readings"), "gold").distinct()
-    key = F.sha2(F.concat(F.split_part("item_id", F.lit(":"), F.lit(1)), F.split_part("item_id", F.lit(":"), F.lit(2))), 256)
-    return once.withColumn("r", F.row_number().over(Window.partitionBy("origin").orderBy(F.split_part("item_id", F.lit(":"), F.lit(2)), key))).filter("r <= 20").drop("r")
+    out = sets.silver(_once(rows), _annotated(spark, sf_dir, rows), "domain", 20)
+    return out.select("item_id", "origin", F.array_join("readings", " ").alias("readings"), "gold").distinct()
 
 
 @query(f"""WITH {_CLAUSES} SELECT domain, CASE WHEN readings IS NOT NULL THEN 'accepted' ELSE 'ambiguous' END AS outcome, count(*) AS n FROM clauses LEFT JOIN ann USING (clause) GROUP BY 1, 2""")
@@ -236,9 +237,7 @@ def formal_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature is the sample: two clauses a document and thirty a role by hash; system turns count as training texts."""
     rows = _sentences(spark, sf_dir)
     near = sets.clauses(rows.filter("domain = 'system'"), 4, 10).select(F.col("clause").alias("text"))
-    # A clause once a document, with what stands before it left out of the order.
-    once = sets.clauses(rows, 4, 10).groupBy("source_id", "doc_id", "domain", "clause").agg(F.min("text").alias("whole")).select("source_id", "doc_id", "domain", F.col("clause").alias("text"))
-    out = sets.formal_set(once.filter("domain <> 'system'"), _annotated(spark, sf_dir, rows), near, "domain", 30, 2, 4, 10)
+    out = sets.formal_set(_once(rows.filter("domain <> 'system'")), _annotated(spark, sf_dir, rows), near, "domain", 30, 2, 4, 10)
     return out.select("item_id", "category", "text", F.array_join("readings", " ").alias("readings"), "source_id", "doc_id")
 
 
