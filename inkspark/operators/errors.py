@@ -96,7 +96,7 @@ def noisy(cases: DataFrame, inventory: DataFrame, kinds: tuple[str, ...] = ("ton
     What is put in here is what `alternatives` would take out: a missing tone mark leaves tone 1, an insertion fills an
     empty slot, a deletion empties one.
     """
-    each = cases.select("case_id", "readings", F.posexplode("readings").alias("position", "observed"))
+    each = cases.select("case_id", F.posexplode("readings").alias("position", "observed"))
     s = ph.syllable("observed")
     part = lambda c, **k: written_syllable(*(k.get(x, c[x]) for x in ("initial", "medial", "final", "tone")))
     row = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.alias("reading"))
@@ -112,8 +112,10 @@ def noisy(cases: DataFrame, inventory: DataFrame, kinds: tuple[str, ...] = ("ton
         made.append(F.when(now.isNotNull(), F.transform(F.filter(every, lambda x: x != now), lambda x: row("substitution", part(c, **{slot: x})))))  # noqa: B023
         made.append(F.when(now.isNotNull(), F.transform(beside, lambda x: row("adjacent_key", part(c, **{slot: x})))))  # noqa: B023
     none = F.array().cast("array<struct<kind:string,reading:string>>")
-    options = each.withColumn("s", s).filter("s is not null").select("case_id", "readings", "position", "observed", F.explode(F.concat(*(F.coalesce(m, none) for m in made))).alias("x")).select("case_id", "readings", "position", "observed", "x.*")
+    options = each.withColumn("s", s).filter("s is not null").select("case_id", "position", "observed", F.explode(F.concat(*(F.coalesce(m, none) for m in made))).alias("x")).select("case_id", "position", "observed", "x.*")
     fit = options.filter(F.col("kind").isin(*kinds) & (F.col("reading") != F.col("observed"))).join(F.broadcast(inventory.select(F.col("syllable").alias("reading")).distinct()), "reading", "left_semi")
     draw = F.sha2(F.concat_ws("\0", F.col("case_id").cast("string"), "kind", F.col("position").cast("string"), "reading"), 256)
-    one = fit.groupBy("case_id", "kind").agg(F.min_by(F.struct("position", "reading", "readings"), draw).alias("x")).select("case_id", "kind", "x.*")
-    return one.select("case_id", "kind", "position", "reading", F.transform("readings", lambda r, i: F.when(i == F.col("position"), F.col("reading")).otherwise(r)).alias("readings"))
+    # A case's readings come back only to its few drawn errors.
+    one = fit.groupBy("case_id", "kind").agg(F.min_by(F.struct("position", "reading"), draw).alias("x")).select("case_id", "kind", "x.*")
+    whole = cases.select(F.col("case_id").alias("__case"), "readings")
+    return one.join(whole, F.col("case_id").eqNullSafe(F.col("__case"))).select("case_id", "kind", "position", "reading", F.transform("readings", lambda r, i: F.when(i == F.col("position"), F.col("reading")).otherwise(r)).alias("readings"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkspark.functions import phonetics as ph
 from inkspark.operators import cases, errors, lexicons
 from inkspark.plans.registry import query, table
+from inkspark.sources.shared import written
 
 
 def _pick(symbols: str, k: str) -> str:
@@ -82,8 +83,10 @@ def error_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def noisy_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One error of each kind in each user's first syllables."""
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", ph.canonical(F.expr(_BODY)).alias("r")).filter("r is not null")
-    by_user = rows.groupBy(F.col("user_id").alias("case_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "r"))), lambda x: x["r"]).alias("readings"))
-    return errors.noisy(by_user, _inventory(spark, sf_dir)).withColumn("readings", F.array_join("readings", " "))
+    by_user = written(rows.groupBy(F.col("user_id").alias("case_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "r"))), lambda x: x["r"]).alias("readings")), "user-syllables")
+    # The inventory is that of `_inventory`: every event is some user's.
+    inventory = by_user.select(F.explode("readings").alias("syllable")).distinct()
+    return errors.noisy(by_user, inventory).withColumn("readings", F.array_join("readings", " "))
 
 
 _PLANE = "(event_id % 3) + 1"
