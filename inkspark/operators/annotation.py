@@ -109,13 +109,16 @@ def counted_words(texts: DataFrame, words: DataFrame, longest: int, script: str
 def reading_issues(items: DataFrame, char_readings: DataFrame, script: str = "han") -> DataFrame:
     """item_id, issue, position of items (item_id, text, readings, acceptable): characters outside the script, unequal
     lengths, readings that the character does not have, and alternatives of other lengths."""
-    whole = items.select("item_id", F.when(~F.rlike("text", F.lit(f"^[{tx.SCRIPTS[script]}]+$")), "outside_script").alias("issue"), F.lit(-1).alias("position")).filter("issue is not null")
-    uneven = items.filter("length(text) <> size(readings)").select("item_id", F.lit("length").alias("issue"), F.lit(-1).alias("position"))
-    even = items.filter("length(text) = size(readings)")
-    each = even.select("item_id", F.posexplode(F.arrays_zip(_characters("text").alias("char"), F.col("readings").alias("reading"))).alias("position", "x")).select("item_id", "position", "x.char", "x.reading")
-    illegal = each.join(char_readings.select("char", "reading").distinct(), ["char", "reading"], "left_anti").select("item_id", F.lit("reading").alias("issue"), "position")
-    other = even.filter(F.exists("acceptable", lambda a: F.length(a) != F.length("text"))).select("item_id", F.lit("alternative").alias("issue"), F.lit(-1).alias("position"))
-    return whole.unionByName(uneven).unionByName(illegal).unionByName(other)
+    issue = lambda name, at=-1, char=None, reading=None: F.struct(F.lit(name).alias("issue"), F.lit(at).alias("position") if isinstance(at, int) else at.alias("position"), (F.lit(None).cast("string") if char is None else char).alias("char"), (F.lit(None).cast("string") if reading is None else reading).alias("reading"))
+    if_ = lambda condition, found: F.when(condition, found).otherwise(F.array().cast("array<struct<issue:string,position:int,char:string,reading:string>>"))
+    even = F.length("text") == F.size("readings")
+    each = F.transform(F.arrays_zip(_characters("text").alias("char"), F.col("readings").alias("reading")), lambda x, i: issue("reading", i, x["char"], x["reading"]))
+    other = even & F.exists("acceptable", lambda a: F.length(a) != F.length("text"))
+    found = F.concat(if_(~F.rlike("text", F.lit(f"^[{tx.SCRIPTS[script]}]+$")), F.array(issue("outside_script"))), if_(F.length("text") != F.size("readings"), F.array(issue("length"))), if_(even, each), if_(other, F.array(issue("alternative"))))
+    # One pass over the items; characters' readings are no more than a script has, and are broadcast.
+    known = F.broadcast(char_readings.select("char", "reading").distinct().withColumn("__known", F.lit(True)))
+    met = items.select("item_id", F.explode(found).alias("x")).select("item_id", "x.*").join(known, ["char", "reading"], "left")
+    return met.filter((F.col("issue") != "reading") | F.col("__known").isNull()).select("item_id", "issue", "position")
 
 
 def differences(items: DataFrame, annotations: DataFrame) -> DataFrame:
