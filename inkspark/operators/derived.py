@@ -66,29 +66,32 @@ def candidates(table: DataFrame, known: DataFrame, per_million: float = PER_MILL
     return table.filter(F.col("n") > 1).filter(common).join(known.select(F.col("text").alias("gram")), "gram", "left_anti")
 
 
-def occurrences(sentences: DataFrame, wanted: DataFrame, everyday: str, whole: bool = True, script: str = "han", sizes: tuple[int, ...] = (2, 3, 4), numerals: str = NUMERALS) -> DataFrame:
-    """gram, count, documents, everyday_documents, numeral_adjacent, by_slice (a map) and sources (sorted).
+def occurrences(sentences: DataFrame, wanted: DataFrame, everyday: str, slices: tuple[str, ...], whole: bool = True, script: str = "han", sizes: tuple[int, ...] = (2, 3, 4), numerals: str = NUMERALS) -> DataFrame:
+    """gram, count, documents, everyday_documents, numeral_adjacent, by_slice (a map) and sources (sorted), over the
+    sentences of the given slices.
 
     whole: grams at every place of the text; otherwise only inside runs of the script, where no numeral is looked for.
-    Rows are summed by document first, so a common gram's rows never meet in one task.
+    Rows are summed by document first, a column for each of the few slices, so a common gram's rows never meet in one
+    task and documents' rows are dealt out once.
     """
-    keys = ["slice", "source", "doc"]
-    if whole:
-        # Windows one character wider on either side; the text's edges are no numerals.
-        wide = F.concat(F.lit("\n"), "text", F.lit("\n"))
-        each = sentences.select(*keys, F.explode(F.flatten(F.array(*(tx.grams(wide, n + 2) for n in sizes)))).alias("w")).select(*keys, F.expr("substring(w, 2, length(w) - 2)").alias("gram"), F.left("w", F.lit(1)).alias("before"), F.right("w", F.lit(1)).alias("after"))
-        beside = (F.instr(F.lit(numerals), F.col("before")) > 0) | (F.instr(F.lit(numerals), F.col("after")) > 0)
-    else:
-        runs = sentences.select(*keys, F.explode(tx.runs("text", script)).alias("run"))
-        each = runs.select(*keys, F.explode(F.flatten(F.array(*(tx.grams("run", n) for n in sizes)))).alias("gram"))
-        beside = F.lit(False)
-    # Both what follows by source and by slice starts from here.
-    hit = written(each.join(wanted.select("gram"), "gram", "left_semi").groupBy("gram", *keys).agg(F.count(F.lit(1)).alias("c"), F.count_if(beside).alias("m")), "occurrences")
-    docs = hit.groupBy("gram", "source", "doc").agg(F.sum("c").alias("c"), F.sum("m").alias("m"), F.max(F.col("slice") == everyday).alias("everyday"))
-    sources = docs.groupBy("gram", "source").agg(F.sum("c").alias("c"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("d"), F.count_if("everyday").alias("e"))
-    totals = sources.groupBy("gram").agg(F.sum("c").alias("count"), F.sum("d").alias("documents"), F.sum("e").alias("everyday_documents"), F.sum("m").alias("numeral_adjacent"), F.sort_array(F.collect_list("source")).alias("sources"))
-    slices = hit.groupBy("gram", "slice").agg(F.sum("c").alias("c")).groupBy("gram").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("slice", "c")))).alias("by_slice"))
-    return totals.join(slices, "gram")
+    own = sentences.filter(F.col("slice").isin(*slices)).select("source", "doc", F.array_position(F.array(*map(F.lit, slices)), F.col("slice")).cast("int").alias("k"), "text")
+    keys, longest = ["k", "source", "doc"], max(sizes)
+    # One window for each place: a character before it, the longest gram and one after; shorter grams are cut from it.
+    cut = own if whole else own.select(*keys, F.explode(tx.runs("text", script)).alias("text"))
+    wide = F.concat(F.lit("\n"), "text", F.lit("\n" * longest))
+    places = cut.select(*keys, F.length("text").alias("size"), F.posexplode(tx.grams(wide, longest + 2)).alias("i", "w"))
+    beside = lambda at: (F.instr(F.lit(numerals), F.substring("w", at, 1)) > 0) if whole else F.lit(False)
+    grams = F.array(*(F.when(F.col("i") + n <= F.col("size"), F.struct(F.substring("w", 2, n).alias("gram"), (beside(1) | beside(n + 2)).alias("m"))) for n in sizes))
+    each = places.select(*keys, F.explode(grams).alias("x")).filter("x is not null").select(*keys, "x.gram", "x.m")
+    by = [F.count_if(F.col("k") == i + 1).alias(f"c{i}") for i in range(len(slices))]
+    docs = each.join(wanted.select("gram"), "gram", "left_semi").groupBy("gram", "source", "doc").agg(*by, F.count_if("m").alias("m"))
+    sums = [F.sum(f"c{i}").alias(f"c{i}") for i in range(len(slices))]
+    per_source = docs.groupBy("gram", "source").agg(*sums, F.sum("m").alias("m"), F.count(F.lit(1)).alias("d"), F.count_if(F.col(f"c{slices.index(everyday)}") > 0).alias("e"))
+    totals = per_source.groupBy("gram").agg(*sums, F.sum("d").alias("documents"), F.sum("e").alias("everyday_documents"), F.sum("m").alias("numeral_adjacent"), F.sort_array(F.collect_list("source")).alias("sources"))
+    named = F.array(*(F.struct(F.lit(x).alias("slice"), F.col(f"c{i}").alias("c")) for x, i in sorted((x, i) for i, x in enumerate(slices))))
+    count = sum((F.col(f"c{i}") for i in range(1, len(slices))), F.col("c0"))
+    # Statistics and ratios of slices both start from here.
+    return written(totals.select("gram", count.alias("count"), "documents", "everyday_documents", "numeral_adjacent", "sources", F.map_from_entries(F.filter(named, lambda x: x["c"] > 0)).alias("by_slice")), "occurrences")
 
 
 def statistics(sentences: DataFrame, counts: DataFrame, known: DataFrame, everyday: str, weights: dict[str, float], script: str = "han", longest: int = 4) -> DataFrame:
@@ -98,7 +101,7 @@ def statistics(sentences: DataFrame, counts: DataFrame, known: DataFrame, everyd
     out = wanted.join(cut_pmi(table, wanted, F.col("pooled_p"), "pooled_pmi"), "gram").join(cut_pmi(table, wanted, F.col("everyday_p"), "everyday_pmi"), "gram")
     out = out.join(fragment_share(table, "pooled", "fragment", longest), "gram", "left").join(fragment_share(table, "everyday", "everyday_fragment", longest), "gram", "left")
     sizes = tuple(range(2, longest + 1))
-    out = out.join(occurrences(sentences.filter(F.col("slice").isin(everyday, *weights)), wanted, everyday, True, script, sizes), "gram", "left").fillna(0.0, ["fragment", "everyday_fragment"]).fillna(0, ["count", "documents", "everyday_documents", "numeral_adjacent"])
+    out = out.join(occurrences(sentences, wanted, everyday, (everyday, *weights), True, script, sizes), "gram", "left").fillna(0.0, ["fragment", "everyday_fragment"]).fillna(0, ["count", "documents", "everyday_documents", "numeral_adjacent"])
     out = out.withColumns({"interpolated_p": interpolated(), "numeral_share": F.when(F.col("count") > 0, F.col("numeral_adjacent") / F.col("count")).otherwise(0.0)})
     totals = counts.filter(F.col("slice").isin(everyday, *weights)).filter("n = 1").groupBy("slice").agg(F.sum("c").alias("total"))
     rates = out.select("gram", F.explode("by_slice").alias("slice", "c")).join(F.broadcast(totals), "slice").withColumn("rate", F.col("c") / F.col("total"))
@@ -156,7 +159,7 @@ def extracted(sentences: DataFrame, counts: DataFrame, known: DataFrame, reading
     eligible, or the first reason against it. readings: texts (text) to (text, readings)."""
     table = written(pooled(counts, everyday, weights), "pooled")
     frequent = written(table.filter(F.col("n") > 1).withColumn("p", estimator).filter(F.col("p") >= per_million / 1e6), "frequent")
-    found = occurrences(sentences.filter(F.col("slice").isin(everyday, *weights)), frequent, everyday, False, script, tuple(range(2, longest + 1)))
+    found = occurrences(sentences, frequent, everyday, (everyday, *weights), False, script, tuple(range(2, longest + 1)))
     met = frequent.join(cut_pmi(table, frequent, estimator, "pmi"), "gram").join(fragment_share(table, "pooled", "fragment", longest), "gram", "left").join(found, "gram", "left")
     met = met.join(known.select(F.col("text").alias("gram"), F.lit(True).alias("known")).distinct(), "gram", "left").join(readings(frequent.select(F.col("gram").alias("text"))).select(F.col("text").alias("gram"), "readings"), "gram", "left")
     reason = F.when(F.col("known"), "known_word").when(F.coalesce("documents", F.lit(0)) < least_documents, "too_few_documents").when(F.col("pmi") < least_pmi, "low_pmi").when(F.coalesce("fragment", F.lit(0.0)) >= lexicons.FRAGMENT, "fragment_of_longer_ngram").when(F.col("readings").isNull(), "readings_unresolved").otherwise("eligible")
