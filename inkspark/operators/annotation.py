@@ -32,16 +32,31 @@ def _characters(text: Column | str) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
+def readable(texts: DataFrame, chars: DataFrame, words: DataFrame, policy: str = "bounded") -> DataFrame:
+    """`texts` (text and more) without those that `annotated` refuses for one character: one that stands in no word and
+    has no reading of its own. What is left may still be refused. The other characters are one string, no longer than
+    a script."""
+    use_words, use_singles = POLICIES[policy]
+    one = F.size("options") == 1
+    own = chars.filter(one | F.coalesce(F.array_contains("options", F.col("single")), F.lit(False)) if use_singles else one).select("char")
+    if use_words:
+        own = own.union(words.select(F.explode(_characters("word"))))
+    known = own.agg(F.array_join(F.collect_set("char"), ""))
+    return texts.filter(F.call_function("translate", F.col("text"), known.scalar(), F.lit("")) == "")
+
+
 def spots(texts: DataFrame, chars: DataFrame, words: DataFrame, longest: int, script: str = "han") -> DataFrame:
     """text, spots: for each position from 0 its character, whether it is of the script, options, single, and the
     longest known word that starts there."""
     once = texts.select("text").filter("text is not null").distinct()
-    each = once.select("text", F.posexplode(_characters("text")).alias("i", "char")).join(chars, "char", "left")
+    # A text's positions stay where it stands: characters are no more than a script has, and are broadcast.
+    each = once.select("text", F.posexplode(_characters("text")).alias("i", "char")).join(F.broadcast(chars), "char", "left")
+    listed = each.groupBy("text").agg(F.collect_list(F.struct("i", "char", tx.is_script("char", script).alias("fit"), "options", "single")).alias("each"))
     cut = once.select("text", F.expr(f"explode(flatten(transform(sequence(0, length(text)), i -> transform(sequence(2, {max(2, longest)}), n -> struct(i as i, n as n, substring(text, i + 1, n) as word)))))").alias("x")).select("text", "x.*").filter("length(word) = n")
     found = cut.join(words, "word").groupBy("text", "i").agg(F.max_by(F.struct("n", "readings"), "n").alias("word"))
-    met = each.join(found, ["text", "i"], "left")
-    row = F.struct("i", "char", tx.is_script("char", script).alias("fit"), "options", "single", "word")
-    return met.groupBy("text").agg(F.array_sort(F.collect_list(row)).alias("spots"))
+    starts = found.groupBy("text").agg(F.map_from_entries(F.collect_list(F.struct("i", "word"))).alias("at"))
+    row = lambda x: F.struct(x["i"].alias("i"), x["char"].alias("char"), x["fit"].alias("fit"), x["options"].alias("options"), x["single"].alias("single"), F.try_element_at("at", x["i"]).alias("word"))
+    return listed.join(starts, "text", "left").select("text", F.transform(F.array_sort("each"), row).alias("spots"))
 
 
 def folded(spots_: Column | str, use_words: bool, use_singles: bool, checked: bool) -> Column:

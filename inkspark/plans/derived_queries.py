@@ -38,7 +38,7 @@ def known_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def char_readings(rows: DataFrame) -> DataFrame:
     """char, reading, order of the letters of `rows` (text)."""
-    chars = rows.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[一-鿿]"), F.lit(0)))).alias("char")).distinct()
+    chars = rows.select(F.explode(F.array_distinct(F.split("text", ""))).alias("char")).filter("char between '一' and '鿿'").distinct()
     return chars.select("char", F.explode(F.when(F.instr(F.lit(VOWELS), F.col("char")) > 0, F.array(F.concat(F.lit("q"), "char"), F.concat(F.lit("r"), "char"))).otherwise(F.array(F.concat(F.lit("r"), "char")))).alias("reading")).withColumn("order", F.lit(0))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkspark.operators import annotation, metrics, ranking, scores, sets
 from inkspark.plans.derived_queries import RATED, VOWELS, char_readings, han, known_words, rated_words, sql_han
 from inkspark.plans.registry import query, table
+from inkspark.sources.shared import written
 
 #: Outcomes of events, read by both engines.
 _OUTCOME = {
@@ -200,28 +201,36 @@ clauses AS (SELECT source_id, doc_id, domain, text, clause, sha256(source_id ||
 ann AS (SELECT clause, array_to_string(list_transform(string_split(clause, ''), lambda c: CASE WHEN contains('{VOWELS}', c) THEN 'q' ELSE 'r' END || c), ' ') AS readings FROM (SELECT DISTINCT clause FROM clauses) WHERE NOT regexp_matches(clause, '[{VOWELS.replace(RATED, '')}]'))"""
 
 
-def _annotated(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+def _evidence(spark: SparkSession, sf_dir: str, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Only the rated vowel is settled, and no words are known: other vowels refuse a clause."""
     rated = rated_words(spark, known_words(spark, sf_dir)).filter("length(text) = 1")
-    chars, words = annotation.char_evidence(char_readings(rows), rated), annotation.word_evidence(rated)
-    return annotation.annotated(sets.clauses(rows, 4, 10).select(F.col("clause").alias("text")), chars, words, 2)
+    return annotation.char_evidence(char_readings(rows), rated), annotation.word_evidence(rated)
+
+
+def _annotated(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    return annotation.annotated(sets.clauses(rows, 4, 10).select(F.col("clause").alias("text")), *_evidence(spark, sf_dir, rows), 2)
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.concat(F.lit("s"), F.col("conv_id") % 4).alias("source_id"), F.col("conv_id").alias("doc_id"), F.col("role").alias("domain"), han("text").alias("text"))
 
 
-def _once(rows: DataFrame) -> DataFrame:
-    """A clause once a document and role, with what stands before it left out of the order."""
-    return sets.clauses(rows, 4, 10).select("source_id", "doc_id", "domain", F.col("clause").alias("text")).distinct()
+def _settled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A clause once a document and role, with what stands before it left out of the order, and the clauses' readings:
+    those with a character that refuses them go where their turn is read, the others are written once."""
+    rows = _sentences(spark, sf_dir)
+    chars, words = _evidence(spark, sf_dir, rows)
+    chars = written(chars, "characters")
+    each = sets.clauses(rows, 4, 10).select("source_id", "doc_id", "domain", F.col("clause").alias("text"))
+    fit = written(annotation.readable(each, chars, words).distinct(), "clauses")
+    return fit, annotation.annotated(fit, chars, words, 2)
 
 
 @query(f"WITH {_CLAUSES} SELECT DISTINCT source_id || ':' || left(key, 12) AS item_id, 'silver:' || domain AS origin, readings, clause AS gold FROM (SELECT *, dense_rank() OVER (PARTITION BY domain ORDER BY key) AS r FROM clauses JOIN ann USING (clause)) WHERE r <= 20")
 def silver_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature is the sample: the twenty first annotated clauses of each role by hash (a clause that stands twice in a
     document is one here)."""
-    rows = _sentences(spark, sf_dir)
-    out = sets.silver(_once(rows), _annotated(spark, sf_dir, rows), "domain", 20)
+    out = sets.silver(*_settled(spark, sf_dir), "domain", 20)
     return out.select("item_id", "origin", F.array_join("readings", " ").alias("readings"), "gold").distinct()
 
 
@@ -235,9 +244,8 @@ def silver_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY key) AS r FROM d WHERE d <= 2) SELECT 'gov:' || source_id || ':' || left(key, 12) AS item_id, domain AS category, clause AS text, readings, source_id, doc_id FROM r WHERE r <= 30""")
 def formal_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature is the sample: two clauses a document and thirty a role by hash; system turns count as training texts."""
-    rows = _sentences(spark, sf_dir)
-    near = sets.clauses(rows.filter("domain = 'system'"), 4, 10).select(F.col("clause").alias("text"))
-    out = sets.formal_set(_once(rows.filter("domain <> 'system'")), _annotated(spark, sf_dir, rows), near, "domain", 30, 2, 4, 10)
+    rows, annotations = _settled(spark, sf_dir)
+    out = sets.formal_set(rows.filter("domain <> 'system'"), annotations, rows.filter("domain = 'system'"), "domain", 30, 2, 4, 10)
     return out.select("item_id", "category", "text", F.array_join("readings", " ").alias("readings"), "source_id", "doc_id")
 
 
